@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,31 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_prints(_table(spark, sf_dir, "documents")).drop("edited_parts")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
+
+
+def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .word_bpe import decode, encode
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode(ids, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_merkle": op3_merkle,
+    "op5_packing": op5_packing,
+    "op10_word_bpe": op10_word_bpe,
 }
 
 ORACLES: dict[str, str] = {}
