@@ -32,6 +32,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2).drop("set_digest")
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_merkle": op3_merkle,
     "op5_packing": op5_packing,
+    "op7_chosen_path": op7_chosen_path,
     "op10_word_bpe": op10_word_bpe,
 }
 
