@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, small_batches, width
+from .shared import materialise, shape, small_batches, width
 
 COORDS = 64
 SMALL = 256
@@ -101,9 +101,7 @@ def signatures(docs: DataFrame, shingle: int, similarity: float, trees: int) ->
     small_batches(docs.sparkSession)
     id_col, text_col = docs.columns
     chosen = _selected(similarity, trees)
-    schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(b"").alias("class"), F.lit(b"").alias("sketch"), F.array(F.lit(0).cast("long")).alias("nodes")).schema
-    for name in ("class", "sketch", "nodes"):
-        schema[name].nullable = True
+    schema = shape(docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(b"").alias("class"), F.lit(b"").alias("sketch"), F.array(F.lit(0).cast("long")).alias("nodes")))
 
     def run(batches):
         import numpy as np

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialise, small_batches
+from .shared import materialise, shape, small_batches
 
 #: Words whose ids a worker remembers before it starts afresh.
 REMEMBERED = 400_000
@@ -32,8 +32,7 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_c
     first. A null text is encoded as empty.
     """
     small_batches(docs.sparkSession)
-    schema = docs.select(F.col(id_col)).schema
-    source = docs.select(F.lit(0).alias("part"), F.col(id_col), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids"))
+    schema = shape(docs.select(F.lit(0).alias("part"), F.col(id_col), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids")))
 
     with open(tokenizer) as f:
         model_text = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -77,11 +76,11 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_c
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(ids.astype(unit))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ends), part, np.int32)), batch.column(0), pa.array(before + ends - lengths), pa.array(lengths), data],
-                names=["part", schema.names[0], "before", "doc_tokens", "ids"],
+                names=schema.names,
             )
             before += int(ends[-1])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, source.schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def _lists(model, words: list) -> list:
@@ -103,7 +102,7 @@ def pieces(tokens: DataFrame, window: int = 2048, id_col: str = "doc_id") -> Dat
     places = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("place"))
     rows = tokens.join(F.broadcast(places), "part").select(F.col(id_col), (F.col("place") + F.col("before")).alias("place"), "doc_tokens", "ids")
     zero = F.lit(0).cast("long")
-    schema = rows.select(F.col(id_col), zero.alias("start"), zero.alias("length"), zero.alias("ids_crc32"), zero.alias("doc_tokens"), zero.alias("sequence_id"), zero.alias("offset"), F.lit(b"").alias("ids")).schema
+    schema = shape(rows.select(F.col(id_col), zero.alias("start"), zero.alias("length"), zero.alias("ids_crc32"), zero.alias("doc_tokens"), zero.alias("sequence_id"), zero.alias("offset"), F.lit(b"").alias("ids")))
 
     def run(batches):
         import zlib

@@ -24,6 +24,13 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_prints(_table(spark, sf_dir, "documents")).drop("edited_parts")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_pages, train
+
+    model = train(_table(spark, sf_dir, "documents"))
+    return identify_pages(_table(spark, sf_dir, "pages"), model).drop("posterior")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +39,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store, with_features, with_headers
+
+    rows = with_features(with_headers(store(_table(spark, sf_dir, "documents"))))
+    return rows.drop("folder", "shard", "offset")
+
+
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_duplicates
 
@@ -53,7 +67,9 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_merkle": op3_merkle,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_media": op6_media,
     "op7_chosen_path": op7_chosen_path,
     "op10_word_bpe": op10_word_bpe,
 }

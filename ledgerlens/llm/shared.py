@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _own: dict[str, str] = {}
 
@@ -71,3 +72,8 @@ def steps(value: Column, bounds: list) -> Column:
 
     powers = F.array(*[F.lit(1 << i) for i in range(top, -1, -1)])
     return F.when(value.isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), lift))
+
+
+def shape(df: DataFrame) -> StructType:
+    """The schema of ``df`` with every column nullable, for functions that return Arrow batches."""
+    return StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])

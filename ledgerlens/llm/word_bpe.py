@@ -18,7 +18,7 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches, width
+from .shared import materialise, shape, small_batches, width
 
 #: Most words in one packed run of positions, unless a single document has more.
 RUN_WORDS = 32_000
@@ -107,8 +107,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     table = spark.sparkContext.broadcast(read_ranks(ranks))  # the vocabulary file, of fixed size
     buckets = max(16, min(width(spark), 1024))
     line = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    shape = line.select(F.lit("").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(b"").alias("payload"), F.array(F.lit(0).cast("long")).alias("counts"), F.array("_id").alias("ids")).schema
-    blocks = materialise(_blocks(line, pattern, buckets, block_bytes, shape), "blocks")
+    schema = shape(line.select(F.lit("").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(b"").alias("payload"), F.array(F.lit(0).cast("long")).alias("counts"), F.array("_id").alias("ids")))
+    blocks = materialise(_blocks(line, pattern, buckets, block_bytes, schema), "blocks")
 
     def words(batches):
         import numpy as np
@@ -134,8 +134,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 out.append(pack(counts.astype(np.uint32).tobytes() + flat.tobytes()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], names=batch.schema.names)
 
-    met = blocks.filter("kind = 0").repartition(buckets, "bucket").mapInArrow(words, shape)
-    result = line.select("_id", F.lit(b"").alias("ids")).schema
+    met = blocks.filter("kind = 0").repartition(buckets, "bucket").mapInArrow(words, schema)
+    result = shape(line.select("_id", F.lit(b"").alias("ids")))
 
     def reassemble(batches):
         import numpy as np
@@ -187,7 +187,7 @@ def decode(tokens: DataFrame, ranks: str, ids_col: str = "ids", out: str = "deco
     table = tokens.sparkSession.sparkContext.broadcast({i: b for b, i in read_ranks(ranks).items()})
     rest = [c for c in tokens.columns if c.lower() != out.lower()]
     at = rest.index(ids_col)
-    schema = tokens.select(*rest, F.lit(b"").alias(out)).schema
+    schema = shape(tokens.select(*rest, F.lit(b"").alias(out)))
 
     def run(batches):
         import numpy as np
