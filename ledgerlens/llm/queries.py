@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert_shards import hilbert_shards
 
@@ -65,6 +72,7 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_merkle": op3_merkle,
     "op4_language_id": op4_language_id,
