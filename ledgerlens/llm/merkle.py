@@ -22,6 +22,9 @@ from .shared import steps
 #: A section ends after a blank line, a paragraph after a line end, a piece after a space that follows one of these marks.
 SECTION, PARAGRAPH, PIECE = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)", r"(?<=[.!?,;:%#s]\s)"
 
+#: Most groups of neighbours whose first keys (eight bytes each) are broadcast.
+BROADCAST_GROUPS = 200_000
+
 
 def fingerprint(text: Column) -> Column:
     """Fingerprint string of a text; a null text counts as empty.
@@ -80,7 +83,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "finger
     return docs.withColumn(out, fingerprint(F.col(text_col)))
 
 
-def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str], derived: dict[str, Column], group_rows: int = 20_000) -> DataFrame:
+def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str], derived: dict[str, Column], group_rows: int = 2_000) -> DataFrame:
     """``docs`` and the ``derived`` columns, with ``next_<c>`` of the next row by (``id_col``, ``order``) for each carried column; the first row follows the last.
 
     The id range is cut into groups of about ``group_rows`` neighbours, by
@@ -110,8 +113,9 @@ def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str],
         .join(bins, "_bin").join(F.broadcast(start))
         .select("_block", F.coalesce("_then", "_after", "_start").alias("_head"))
     )
+    spots = after.select(F.col("_head").alias("_key")).distinct()
     head = (
-        docs.withColumn("_key", key).join(after.select(F.col("_head").alias("_key")).distinct(), "_key", "left_semi")
+        docs.withColumn("_key", key).join(F.broadcast(spots) if groups <= BROADCAST_GROUPS else spots, "_key", "left_semi")
         .withColumns(derived).groupBy("_key").agg(F.min(F.struct(order, *[c for c in carried if c != order])).alias("_v"))
         .withColumnRenamed("_key", "_head")
     )
