@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +61,19 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2).drop("set_digest")
 
 
+def op8_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import render, rotate
+
+    rows = render(rotate(_table(spark, sf_dir, "conversations")))
+    return rows.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ","))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_media": op6_media,
     "op7_chosen_path": op7_chosen_path,
+    "op8_rotation": op8_rotation,
+    "op9_html_text": op9_html_text,
     "op10_word_bpe": op10_word_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_rotation": chat.ORACLE}
