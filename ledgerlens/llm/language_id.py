@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shape, small_batches
+from .shared import drop_rows, materialise, shape, small_batches
 
 SLOTS = 1 << 15
 TEMPER = 60
@@ -229,3 +229,10 @@ def identify_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     )
     evidence = materialise(_evidence(rows, model, False), "language-evidence")
     return fuse(evidence, model.languages).withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source") -> DataFrame:
+    """The rows of ``docs`` in a language of the model, all columns as they are; rows are told apart by id and text."""
+    marked = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    found = identify_documents(marked, model, "_row", text_col, declared_col, host_col)
+    return drop_rows(marked, found.filter(~F.col("accepted")).select("_row").distinct()).select(*docs.columns)

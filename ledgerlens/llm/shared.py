@@ -77,3 +77,10 @@ def steps(value: Column, bounds: list) -> Column:
 def shape(df: DataFrame) -> StructType:
     """The schema of ``df`` with every column nullable, for functions that return Arrow batches."""
     return StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
+
+
+def drop_rows(rows: DataFrame, gone: DataFrame, key: str = "_row", most: int = 500_000) -> DataFrame:
+    """``rows`` without those whose ``key`` is in ``gone``; ``gone`` is written and counted first, and broadcast only up to ``most`` keys."""
+    gone = materialise(gone.select(F.col(key).alias("_gone")), "gone")
+    few = gone.count() <= most
+    return rows.join(F.broadcast(gone) if few else gone, rows[key].eqNullSafe(gone["_gone"]), "left_anti")

@@ -201,6 +201,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(evidence(None), weights, centre, spread)
 
 
+def probabilities(texts: list[str], model: ToxicityModel, strength: Strengths) -> list:
+    """Probability of each category for each text, along the chain."""
+    import numpy as np
+
+    x = np.stack([describe(t, strength) for t in texts]) if texts else np.empty((0, len(model.centre)))
+    x = np.concatenate([np.ones((len(x), 1)), (x - model.centre) / model.spread], axis=1)
+    out = []
+    for w in model.weights:
+        out.append(_probability(x, w))
+        x = np.concatenate([x, _log_odds(out[-1])[:, None]], axis=1)
+    return out
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``id_col``, p_low_quality, p_toxic, p_severe, toxic (p_toxic at or above ``threshold``) and strongest, the word with the most evidence.
 
@@ -215,20 +228,33 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     schema = shape(line.select("_id", *[F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES], F.lit("").alias("strongest")))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         m = shared.value
         strength = Strengths(m.evidence)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            x = np.stack([describe(t, strength) for t in texts]) if texts else np.empty((0, len(m.centre)))
-            x = np.concatenate([np.ones((len(x), 1)), (x - m.centre) / m.spread], axis=1)
-            out = []
-            for w in m.weights:
-                out.append(_probability(x, w))
-                x = np.concatenate([x, _log_odds(out[-1])[:, None]], axis=1)
+            out = probabilities(texts, m, strength)
             top = [max(((strength[w], w) for w in _words(t) if strength[w] > 0), default=(0, None))[1] if p >= threshold else None for t, p in zip(texts, out[1], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p) for p in out], pa.array(top, pa.string())], names=schema.names)
 
     return line.mapInArrow(run, schema).withColumn("toxic", F.col("p_toxic") >= threshold).withColumnRenamed("_id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, all columns as they are; one pass without a join."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        strength = Strengths(m.evidence)
+        for batch in batches:
+            p = probabilities([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()], m, strength)[1]
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, shape(docs))
