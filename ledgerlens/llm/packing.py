@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from .shared import materialise, shape, small_batches
 
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, over its tasks, before it starts afresh (about 200 bytes each).
+REMEMBERED = 800_000
 
 
 def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,32 +44,27 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_c
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        from .pretokens import Codes, IdTable, coded, splitter
+        from .pretokens import WordIds, coded, splitter
 
         part, before = TaskContext.get().partitionId(), 0
-        model = Tokenizer.from_str(model_text.value)
-        model.encode_special_tokens = True
-        unit = np.uint16 if model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32
+        known = WordIds.of(model_text.value, end_id)
+        unit = np.uint16 if known.top < 1 << 16 else np.uint32
         size = np.dtype(unit).itemsize
         split = splitter(pattern)
-        codes, table = Codes(), IdTable()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if len(codes) > REMEMBERED:
-                codes, table = Codes(), IdTable()
+            known.forget_beyond(REMEMBERED)
             words, counts = [], []
             for text in batch.column(1).to_pylist():
                 found = split(text or "")
                 words += found
                 words.append(None)
                 counts.append(len(found) + 1)
-            numbers = coded(words, codes)
-            table.add([end_id] if w is None else x for w, x in zip(codes.new, _lists(model, codes.new), strict=True))
-            codes.new = []
-            ids, per_word = table.take(numbers)
+            numbers = coded(words, known.codes)
+            known.learn()
+            ids, per_word = known.table.take(numbers)
             ends = np.cumsum(per_word)[np.cumsum(counts) - 1]
             lengths = np.diff(ends, prepend=0)
             offsets = pa.py_buffer(np.concatenate([[0], ends * size]).astype(np.int64))
@@ -83,14 +78,6 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_c
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def _lists(model, words: list) -> list:
-    """Ids of each word (null: none), a bounded number at a time."""
-    out = []
-    for i in range(0, len(words), 10_000):
-        out += [x.ids for x in model.encode_batch(["" if w is None else w for w in words[i : i + 10_000]], add_special_tokens=False)]
-    return out
-
-
 def pieces(tokens: DataFrame, window: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """Cut the token line of an ``encoded`` table (a written one: it is read twice) into windows.
 
