@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, shape, small_batches, width
+from .shared import drop_rows, materialise, shape, small_batches, width
 
 COORDS = 64
 SMALL = 256
 NODE_ROWS = 200_000
 ROOM_ROWS = 2_000
 MAX_DEPTH = 30
+FIRST_TREES = 3
 _SEED = 20_240_501
 
 
@@ -160,22 +161,25 @@ def _ties(wanted: int, similarity: float):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for table in _split_nodes(batches):
             nodes = table.column("node").to_numpy()
             names = table.column("class").chunk(0) if table.num_rows else None
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
+            label = pc.dictionary_encode(table.column("label").chunk(0)).indices.to_numpy()
             cuts = np.flatnonzero(np.diff(nodes)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(nodes)]])
             left, right = [], []
             twos = starts[ends - starts == 2]
-            hit = twos[(sketch[twos] == sketch[twos + 1]).sum(1) >= wanted]
+            hit = twos[((sketch[twos] == sketch[twos + 1]).sum(1) >= wanted) & (label[twos] != label[twos + 1])]
             left.append(hit)
             right.append(hit + 1)
 
             def tie(a, b):
-                left.append(np.asarray(a, np.int64).ravel())
-                right.append(np.asarray(b, np.int64).ravel())
+                new = label[a] != label[b]
+                left.append(a[new])
+                right.append(b[new])
 
             def compare(rows):
                 """Star of each connected set of alike rows."""
@@ -186,7 +190,7 @@ def _ties(wanted: int, similarity: float):
                     while len(edge) and len(free):
                         near = (sketch[free][:, None, :] == sketch[edge][None, :, :]).sum(2).max(1) >= wanted
                         edge, free = free[near], free[~near]
-                        tie(np.full(len(edge), group[0]), edge)
+                        tie(np.full(len(edge), group[0], np.int64), edge)
 
             def solve(rows, seed, depth):
                 rng = np.random.default_rng(seed)
@@ -195,14 +199,14 @@ def _ties(wanted: int, similarity: float):
                     near = (sketch[rows] == sketch[rows[0]]).sum(1) >= wanted
                     if near.sum() < 3:
                         break
-                    tie(np.full(int(near.sum()) - 1, rows[0]), rows[near][1:])
+                    tie(np.full(int(near.sum()) - 1, rows[0], np.int64), rows[near][1:])
                     rows = rows[~near]
                 if len(rows) <= SMALL:
                     compare(rows)
                 elif depth == MAX_DEPTH:  # tokens no longer part these rows: all pairs, a block at a time
                     for i in range(len(rows)):
                         near = (sketch[rows[i + 1 :]] == sketch[rows[i]]).sum(1) >= wanted
-                        tie(np.full(int(near.sum()), rows[i]), rows[i + 1 :][near])
+                        tie(np.full(int(near.sum()), rows[i], np.int64), rows[i + 1 :][near])
                 else:
                     hits = np.flatnonzero(rng.random(COORDS) < 3 / (similarity * COORDS))
                     for c in hits if len(hits) else [int(rng.integers(COORDS))]:
@@ -211,6 +215,8 @@ def _ties(wanted: int, similarity: float):
                             solve(rows[values == v], (seed * 31 + int(c) * 257 + int(v) + 1) % (1 << 63), depth + 1)
 
             for lo, hi in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+                if (label[lo:hi] == label[lo]).all():
+                    continue
                 if hi - lo <= 8:
                     compare(np.arange(lo, hi))
                 else:
@@ -223,10 +229,14 @@ def _ties(wanted: int, similarity: float):
 
 
 def ties(classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of classes that some tree brought together and whose sketches look alike."""
+    """Pairs of classes of different labels that some tree brought together and whose sketches look alike.
+
+    Rows are (class, sketch, nodes, label); classes of one label are known to
+    be connected and are not tied again.
+    """
     spark = classes.sparkSession
     wanted = int((similarity - 0.2) * COORDS)
-    level = classes.select("class", "sketch", F.explode("nodes").alias("node"))
+    level = classes.select("class", "sketch", "label", F.explode("nodes").alias("node"))
     found, depth = [], 0
     while True:
         heavy = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "sketch")).alias("pivot")).filter(F.col("n") > NODE_ROWS), "heavy")
@@ -239,17 +249,33 @@ def ties(classes: DataFrame, similarity: float) -> DataFrame:
         chance = 1 / (similarity * COORDS)
         coord = F.filter(F.sequence(F.lit(1), F.lit(COORDS)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(chance * (1 << 20)))
         coord = F.when(F.size(coord) > 0, coord).otherwise(F.array((F.pmod(F.xxhash64("node", F.lit(0)), F.lit(COORDS)) + 1).cast("int")))
-        deeper = big.filter(~F.col("near")).select("class", "sketch", "node", F.explode(coord).alias("c"))
-        deeper = deeper.select("class", "sketch", F.xxhash64("node", "c", F.substring("sketch", F.col("c"), F.lit(1))).alias("node"))
-        level = materialise(level.join(heavy, "node", "left_anti").select("class", "sketch", "node").unionByName(deeper), "level")
+        deeper = big.filter(~F.col("near")).select("class", "sketch", "label", "node", F.explode(coord).alias("c"))
+        deeper = deeper.select("class", "sketch", "label", F.xxhash64("node", "c", F.substring("sketch", F.col("c"), F.lit(1))).alias("node"))
+        level = materialise(level.join(heavy, "node", "left_anti").select("class", "sketch", "label", "node").unionByName(deeper), "level")
         depth += 1
-    rows = level.select("node", "class", "sketch").repartition(width(spark), "node").sortWithinPartitions("node")
+    rows = level.select("node", "class", "sketch", "label").repartition(width(spark), "node").sortWithinPartitions("node")
     out = rows.mapInArrow(_ties(wanted, similarity), "a binary, b binary")
     for pairs in found:
         out = out.unionByName(pairs)
     return out
 
 
+def _rooms(classes: DataFrame, similarity: float, trees: int) -> DataFrame:
+    """class and room of every class that is tied to another.
+
+    The first trees connect nearly all of a large group of near copies; the
+    rest then look only for ties between what is still apart.
+    """
+    first = sum(tree < FIRST_TREES for tree, _ in _selected(similarity, trees))
+    start = classes.select("class", "sketch", F.slice("nodes", 1, first).alias("nodes"), F.col("class").alias("label"))
+    early = materialise(ties(start, similarity), "early-ties")
+    known = components(early).select(F.col("node").alias("class"), F.col("component").alias("label"))
+    rest = classes.select("class", "sketch", F.slice("nodes", first + 1, 10_000).alias("nodes")).join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    late = ties(rest, similarity)
+    joined = late.unionByName(known.select(F.col("class").alias("a"), F.col("label").alias("b")))
+    return materialise(components(joined).withColumnsRenamed({"node": "class", "component": "room"}), "rooms")
+
+
 def _links(share: int):
     """mapInArrow function: sets of a pair of blocks of a room -> exact links that connect what is connected."""
 
@@ -327,7 +353,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         signed.filter("class is not null").groupBy("class").agg(F.min("id").alias("least_id"), F.min(F.struct("sketch", "nodes")).alias("s")).select("class", "least_id", "s.sketch", "s.nodes"),
         "classes",
     )
-    rooms = materialise(components(ties(classes, similarity)).withColumnsRenamed({"node": "class", "component": "room"}), "rooms")
+    rooms = _rooms(classes, similarity, trees)
     # Full sets of the classes that share a room with another, from one document of each.
     picked = classes.join(rooms, "class", "left_semi").select(F.col("least_id").alias("_id")).distinct()
     texts = line.join(picked, line["_id"].eqNullSafe(picked["_id"]), "left_semi").select("_text")
@@ -349,3 +375,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         signed.select("id", "n_shingles", "class").join(named, "class", "left")
         .select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), F.lower(F.hex("class")).alias("set_digest"))
     )
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each near-duplicate group, all columns as they are.
+
+    Rows are told apart by id and text, so a repeated id with another text is
+    another document; of repeated rows with words one stays.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    marked = docs.withColumn("_row", key)
+    found = materialise(near_duplicates(marked.select("_row", text_col), shingle, similarity, id_col="_row", text_col=text_col), "near-duplicates")
+    left = drop_rows(marked, found.filter(~F.col("kept")).select("_row").distinct())
+    repeated = found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row")
+    if not repeated.isEmpty():
+        again = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+        left = drop_rows(left, repeated).unionByName(again)
+    return left.select(*docs.columns)
