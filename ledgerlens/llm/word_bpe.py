@@ -31,7 +31,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int, schema) -> DataFrame:
-    """Rows of kind 0 (words of a bucket), 1 (bucket of each word) and 2 (positions of some documents) of each block."""
+    """Rows of kind 0 (words of a bucket) and 1 (positions of some documents) of each block.
+
+    A word's code is its rank in its bucket (by frequency in the block) times
+    the number of buckets plus the bucket, so frequent words have small codes
+    and the ids that come back by bucket need no other map.
+    """
 
     def run(batches):
         import zlib
@@ -41,54 +46,52 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int, schem
         import zstandard
         from pyspark import TaskContext
 
-        from .pretokens import Codes, coded, splitter
+        from .pretokens import Codes, coded, pack_codes, pack_ints, splitter
 
         split, pack = splitter(pattern), zstandard.ZstdCompressor(level=3).compress
-        arrow = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("counts", pa.list_(pa.int64()))])
-        part, number, held = TaskContext.get().partitionId(), 0, 0
-        codes = Codes()
-
-        def rows(kind, found, ids):
-            n = len(found)
-            cols = [pa.array([f"{part}-{number}"] * n), pa.array([kind] * n, pa.int32()), pa.array([b for b, _, _ in found], pa.int32()), pa.array([p for _, p, _ in found], pa.binary()), pa.array([c for _, _, c in found], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*cols, ids], names=[*arrow.names, "ids"])
-
-        def dictionary(kept):
-            words = [w.encode() for w in kept]
-            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            for b, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
-                if hi > lo:
-                    own = [words[i] for i in order[lo:hi]]
-                    lengths = np.fromiter(map(len, own), np.uint32, len(own)).tobytes()
-                    yield 0, (b, pack(lengths + b"".join(own)), [len(own)])
-            yield 1, (0, pack(bucket.astype(np.uint16).tobytes()), [len(words)])
+        part, number = TaskContext.get().partitionId(), 0
+        codes, held, runs = Codes(), 0, []
+        none = None
+
+        def row(kind, bucket, payload, counts, ids):
+            cols = [pa.array([f"{part}-{number}"]), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary()), pa.array([counts], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*cols, ids], names=schema.names)
 
         def flush():
-            nonlocal codes, number, held
-            for kind, row in dictionary(codes.new):
-                yield rows(kind, [row], none)
-            codes, number, held = Codes(), number + 1, 0
+            words = [w.encode() for w in codes.new]
+            seen = np.zeros(len(words), np.int64)
+            for _, _, found in runs:
+                seen += np.bincount(found, minlength=len(words))
+            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) % buckets
+            order = np.lexsort((-seen, bucket))
+            sizes = np.bincount(bucket, minlength=buckets)
+            starts = np.cumsum(sizes) - sizes
+            code = np.empty(len(words), np.int64)
+            code[order] = (np.arange(len(words)) - np.repeat(starts, sizes)) * buckets + bucket[order]
+            for b in np.flatnonzero(sizes).tolist():
+                own = [words[i] for i in order[starts[b] : starts[b] + sizes[b]]]
+                yield row(0, b, pack(pack_ints(np.fromiter(map(len, own), np.int64, len(own))) + b"".join(own)), [len(own)], none)
+            while runs:
+                ids, counts, found = runs.pop()
+                yield row(1, 0, pack(pack_codes(code[found])), counts, pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), ids))
 
-        none = None
         for batch in batches:
             ids = batch.column(0)
             none = pa.array([[]], pa.list_(ids.type))
             start, words, counts = 0, [], []
             texts = batch.column(1).to_pylist()
-            for row, text in enumerate(texts):
+            for at, text in enumerate(texts):
                 found = split(text or "")
                 words += found
                 counts.append(len(found))
                 held += len(text or "")
-                if len(words) >= RUN_WORDS or row + 1 == len(texts):
-                    planes = coded(words, codes).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                    yield rows(2, [(0, pack(planes), counts)], pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), ids.slice(start, len(counts))))
-                    start, words, counts = row + 1, [], []
-            if held >= block_bytes:
-                yield from flush()
-        if held or codes:
+                if len(words) >= RUN_WORDS or at + 1 == len(texts):
+                    runs.append((ids.slice(start, len(counts)), counts, coded(words, codes).astype(np.int32)))
+                    start, words, counts = at + 1, [], []
+                if held >= block_bytes and not words:
+                    yield from flush()
+                    codes, held, number = Codes(), 0, number + 1
+        if runs:
             yield from flush()
 
     return docs.mapInArrow(run, schema)
@@ -116,22 +119,23 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         import tiktoken
         import zstandard
 
-        from .pretokens import Codes, IdTable, coded
+        from .pretokens import Codes, IdTable, coded, pack_ints, unpack_ints
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})._core_bpe.encode_single_piece
         codes, ids = Codes(), IdTable()
         for batch in batches:
             out = []
-            for raw, (n,) in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for raw in batch.column(3).to_pylist():
                 data = unpack(raw)
-                ends = np.cumsum(np.frombuffer(data, np.uint32, n)) + 4 * n
-                found = [data[lo:hi] for lo, hi in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                lengths, at = unpack_ints(data)
+                ends = np.cumsum(lengths) + at
+                found = [data[lo:hi] for lo, hi in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 numbers = coded(found, codes)
                 ids.add(map(piece, codes.new))
                 codes.new = []
                 flat, counts = ids.take(numbers)
-                out.append(pack(counts.astype(np.uint32).tobytes() + flat.tobytes()))
+                out.append(pack(pack_ints(counts) + pack_ints(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], names=batch.schema.names)
 
     met = blocks.filter("kind = 0").repartition(buckets, "bucket").mapInArrow(words, schema)
@@ -142,38 +146,43 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         import pyarrow as pa
         import zstandard
 
-        from .pretokens import IdTable
+        from .pretokens import IdTable, unpack_codes, unpack_ints
 
         unpack = zstandard.ZstdDecompressor().decompress
-        block, counts, flat, table = None, [], [], IdTable()
+        block, parts, table = None, {}, None
+
+        def joined():
+            """Ids by code: those of bucket b are at b, b + buckets, b + 2 * buckets and so on."""
+            found = IdTable()
+            top = max(len(c) for c, _ in parts.values())
+            found.starts, found.counts = np.zeros(top * buckets, np.int64), np.zeros(top * buckets, np.int64)
+            found.ids = np.concatenate([f for _, f in parts.values()]).astype(np.uint32)
+            at = 0
+            for b, (counts, flat) in parts.items():
+                own = slice(b, b + len(counts) * buckets, buckets)
+                found.counts[own], found.starts[own] = counts, at + np.cumsum(counts) - counts
+                at += len(flat)
+            return found
+
         for batch in batches:
-            owners, texts = [], []
-            for name, kind, raw, many, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), range(batch.num_rows), strict=True):
+            for at in range(batch.num_rows):
+                name, kind, bucket, raw, many = (batch.column(i)[at].as_py() for i in range(5))
                 if name != block:
-                    block, counts, flat, table = name, [], [], None
+                    block, parts, table = name, {}, None
                 data = unpack(raw)
                 if kind == 0:
-                    counts.append(np.frombuffer(data, np.uint32, many[0]).astype(np.int64))
-                    flat.append(np.frombuffer(data, np.uint32, offset=4 * many[0]))
-                elif kind == 1:
-                    order = np.argsort(np.frombuffer(data, np.uint16), kind="stable")
-                    table = IdTable()
-                    table.ids = np.concatenate([*flat, np.empty(0, np.uint32)])
-                    table.counts, table.starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-                    lengths = np.concatenate([*counts, np.empty(0, np.int64)])
-                    table.counts[order], table.starts[order] = lengths, np.cumsum(lengths) - lengths
-                    counts, flat = [], []
-                else:
-                    codes = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-                    found, per_word = table.take(codes)
-                    ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(many)]
-                    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
-                        texts.append(found[lo:hi].tobytes())
-                    owners.append(batch.column(5)[ids].values)
-            if owners:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(owners), pa.array(texts, pa.binary())], names=["_id", "ids"])
-
-    home = met.unionByName(blocks.filter("kind > 0")).repartition(width(spark), "block").sortWithinPartitions("block", "kind", "bucket")
+                    counts, end = unpack_ints(data)
+                    parts[bucket] = counts, unpack_ints(data, end)[0]
+                    continue
+                if table is None:
+                    table, parts = joined() if parts else IdTable(), {}
+                found, per_word = table.take(unpack_codes(data))
+                ends = 4 * np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(many)]
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(found)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(5)[at].values, texts], names=result.names)
+
+    home = met.unionByName(blocks.filter("kind = 1")).repartition(width(spark), "block").sortWithinPartitions("block", "kind", "bucket")
     return home.mapInArrow(reassemble, result).withColumnRenamed("_id", id_col)
 
 
