@@ -58,10 +58,14 @@ def describe(name: str, value: Column) -> Column:
 
 def general(value: Column) -> Column:
     """A number with four significant digits: no trailing zeros, thousands in commas, powers of ten from 10,000 up and below 0.0001."""
-    # Rounding to four digits may carry into the next power of ten.
-    size = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(F.format_string("%.3e", value).cast("double")))).cast("int"))
-    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.3e", value), r"(\.\d*?)0+(e)", "$1$2"), r"\.(e)", "$1")
-    plain = F.coalesce(*[F.when(size == k, F.call_function("format_number", value, F.lit("#,##0." + "#" * (3 - k)))) for k in range(-4, 4)])
+    least = F.floor(F.log10(F.abs(value))).cast("int")
+    scale = F.pow(F.lit(10.0), F.abs(least - 3))
+    digits = F.rint(F.when(least >= 3, value / scale).otherwise(value * scale))  # ties to even
+    carry = F.abs(digits) >= 10_000
+    size = F.when(value == 0, 0).otherwise(F.when(carry, least + 1).otherwise(least))
+    exponent = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    mantissa = F.concat(F.call_function("format_number", digits / F.when(carry, 10_000).otherwise(1_000), F.lit("0.###")), exponent)
+    plain = F.coalesce(*[F.when(size == k, F.call_function("format_number", value, F.lit("#,##0" + ("." + "#" * (3 - k) if k < 3 else "")))) for k in range(-4, 4)])
     return F.when(value == 0, "0").when((size >= 4) | (size < -4), mantissa).otherwise(plain)
 
 
