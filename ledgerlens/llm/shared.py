@@ -47,11 +47,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches short so that very long texts stay within a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Keep Arrow and Parquet batches of the session short, so that very long texts stay within a worker's and an executor's memory."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        now = int(spark.conf.get(key))
+        if now <= 0 or now > rows:
+            spark.conf.set(key, str(rows))
 
 
 def width(spark: SparkSession) -> int:
