@@ -1,49 +1,15 @@
-"""Shared-folder tables and small column helpers used by the operators here."""
+"""Session limits and small helpers of the operators here; tables in the shared folder come from the library's sources."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a local master gets a temporary folder; any
-    other master is refused, since executors would not see the driver's disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-    return _own[app]
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/ledgerlens/{label}-{uuid.uuid4().hex[:12]}"
+from ..functions.ordered import steps
+from ..sources.scratch import materialise, new_folder
 
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
-
-    A lost executor then costs only re-reads; files appear by Spark's commit
-    protocol, so a retried task cannot leave half a result.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_rows", "materialise", "new_folder", "shape", "small_batches", "steps", "width"]
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -59,21 +25,6 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def steps(value: Column, bounds: list) -> Column:
-    """How many of the ascending ``bounds`` are at or below ``value`` (null: 0), by binary lifting."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
-    top = len(bounds).bit_length() - 1
-
-    def lift(done: Column, power: Column) -> Column:
-        ahead = done + power
-        return F.when((ahead <= len(bounds)) & (F.element_at(table, F.least(ahead, F.lit(len(bounds)))) <= value), ahead).otherwise(done)
-
-    powers = F.array(*[F.lit(1 << i) for i in range(top, -1, -1)])
-    return F.when(value.isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), lift))
-
-
 def shape(df: DataFrame) -> StructType:
     """The schema of ``df`` with every column nullable, for functions that return Arrow batches."""
     return StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields])
