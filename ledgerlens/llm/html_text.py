@@ -84,6 +84,8 @@ def parse(source: str) -> Node:
             continue
         tag = hit[2].lower()
         if hit[1]:
+            if tag in ("body", "html"):  # what comes after them still belongs to the body
+                continue
             if tag == "br":
                 stack[-1].children.append(Node("br"))
                 continue
