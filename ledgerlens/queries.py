@@ -291,11 +291,11 @@ def p17(spark, sf_dir):
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
-@query("j1_asof_join", f"""{TRANSFERS_SQL}, big AS (SELECT from_account_key AS k, "timestamp" AS t, max(amount_paid) AS amount FROM txns WHERE txn_id % 7 = 0 GROUP BY ALL)
+@query("j1_asof_join", f"""{TRANSFERS_SQL}, big AS (SELECT from_account_key AS k, "timestamp" AS t, max(amount_paid) AS amount FROM txns WHERE payment_format = 'Wire' GROUP BY ALL)
 SELECT txn_id, round(big.amount, 6) AS asof_amount FROM txns ASOF LEFT JOIN big ON txns.from_account_key = big.k AND txns."timestamp" >= big.t""")
 def j1(spark, sf_dir):
     t = transfers(spark, sf_dir)
-    right = t.filter("txn_id % 7 = 0").select("from_account_key", "timestamp", F.col("amount_paid").alias("amount"))
+    right = t.filter("payment_format = 'Wire'").select("from_account_key", "timestamp", F.col("amount_paid").alias("amount"))
     return rounded(asof_join(t.select("txn_id", "from_account_key", "timestamp"), right, "from_account_key", "timestamp", ["amount"]).select("txn_id", "asof_amount"))
 
 
@@ -322,11 +322,12 @@ def a3(spark, sf_dir):
     return rounded(A.label_by(transfers(spark, sf_dir), "payment_format"))
 
 
-@query("a4_daily_totals", f"""{TRANSFERS_SQL}, d AS (SELECT CAST("timestamp" AS DATE) AS day, count(*) AS n, sum(is_laundering) AS p FROM txns WHERE txn_id % 400 = 1 GROUP BY 1),
+@query("a4_daily_totals", f"""{TRANSFERS_SQL}, d AS (SELECT CAST("timestamp" AS DATE) AS day, count(*) AS n, sum(is_laundering) AS p FROM txns WHERE pattern_type = 'STACK' GROUP BY 1),
 s AS (SELECT CAST(unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
 SELECT s.day, coalesce(n, 0) AS n_rows, CAST(coalesce(p, 0) AS BIGINT) AS positives FROM s LEFT JOIN d ON s.day = d.day""")
 def a4(spark, sf_dir):
-    return A.daily_totals(transfers(spark, sf_dir).filter("txn_id % 400 = 1"))
+    """Daily totals of one pattern, which leaves days empty."""
+    return A.daily_totals(transfers(spark, sf_dir).filter("pattern_type = 'STACK'"))
 
 
 @query("a5_most_active", f"""{LEGS} SELECT account_key, count(*) AS count FROM legs GROUP BY ALL ORDER BY count DESC, account_key LIMIT 20""")
@@ -777,10 +778,10 @@ def x5(spark, sf_dir):
     return contributions(spark, sf_dir).select("txn_id", X.sentence(shap, vals, CELL_NAMES).alias("faithful"), X.sentence(shap, vals, CELL_NAMES, exclude=X.FORMAT_FEATURES).alias("behavioural"))
 
 
-@query("x7_waterfall", f"""{CELLS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY abs(c) DESC, i) AS place FROM cells WHERE txn_id < 200)
+@query("x7_waterfall", f"""{CELLS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY abs(c) DESC, i) AS place FROM cells)
 SELECT txn_id, replace(replace(name, 'payment_format_', 'payment format: '), '_', ' ') AS feature, round(v, 6) AS value, round(c, 6) AS contribution FROM r WHERE place <= 10 UNION ALL SELECT txn_id, '2 other features', NULL, round(sum(c), 6) FROM r WHERE place > 10 GROUP BY 1""")
 def x7(spark, sf_dir):
-    return rounded(X.waterfall(contributions(spark, sf_dir).filter("txn_id < 200"), "shap", "vals", CELL_NAMES))
+    return rounded(X.waterfall(contributions(spark, sf_dir), "shap", "vals", CELL_NAMES))
 
 
 @query("x8_reconstructed_score", f"{CELLS_SQL} SELECT txn_id, round(1 / (1 + exp(-(0.3 + sum(c)))), 6) AS score FROM cells GROUP BY 1")
