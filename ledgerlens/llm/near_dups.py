@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_rows, materialise, shape, small_batches, width
+from .shared import drop_rows, materialise, shape, small_batches
 
 COORDS = 64
 SMALL = 256
@@ -253,7 +253,7 @@ def ties(classes: DataFrame, similarity: float) -> DataFrame:
         deeper = deeper.select("class", "sketch", "label", F.xxhash64("node", "c", F.substring("sketch", F.col("c"), F.lit(1))).alias("node"))
         level = materialise(level.join(heavy, "node", "left_anti").select("class", "sketch", "label", "node").unionByName(deeper), "level")
         depth += 1
-    rows = level.select("node", "class", "sketch", "label").repartition(width(spark), "node").sortWithinPartitions("node")
+    rows = level.select("node", "class", "sketch", "label").repartition("node").sortWithinPartitions("node")
     out = rows.mapInArrow(_ties(wanted, similarity), "a binary, b binary")
     for pairs in found:
         out = out.unionByName(pairs)
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         sets.join(seats, "class").dropDuplicates(["class"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("room", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "class", "found")
-        .repartition(width(spark), "room", "i", "j").sortWithinPartitions("room", "i", "j")
+        .repartition("room", "i", "j").sortWithinPartitions("room", "i", "j")
     )
     exact = components(dealt.mapInArrow(_links(share), "a binary, b binary"))
     joined = exact.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
