@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shape, small_batches
+from .shared import materialise, shape, small_batches
 
 #: Categories in chain order. ``low_quality`` and ``toxic`` are labels; ``severe`` is toxic with at least SEVERE_HITS distinct toxic patterns.
 CATEGORIES = ("low_quality", "toxic", "severe")
@@ -122,47 +122,52 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = usable.count()
     chance = min(1.0, max_rows / max(n, 1))
     sample = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(chance * (1 << 20))).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int"), F.col("quality").cast("int")).dropDuplicates(["_id"])
-    # Bounded by max_rows (in expectation), hence the broadcast; texts are not shuffled.
-    rows = (
+    # Bounded by max_rows (in expectation), hence the broadcast; the sample's texts are written once and read from there.
+    rows = materialise(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-        .join(F.broadcast(sample), "_id").select("text", "toxic", "quality", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+        .join(F.broadcast(sample), "_id").select("text", "toxic", "quality", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")),
+        "toxicity-sample",
     )
+    counts = "pattern string, " + ", ".join(f"n{k} bigint" for k in range(FOLDS))
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(FOLDS)]
+    whole = sum((F.col(f"n{k}") for k in range(FOLDS)), F.lit(0))
+
+    def count(among=None):
+        """mapInArrow function: texts per fold that hold each pattern, or each of ``among``."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            seen: dict = {}
+
+            def flush():
+                names = list(seen)
+                table = np.array(list(seen.values()), np.int64).reshape(len(names), -1)
+                seen.clear()
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(table[:, k]) for k in range(FOLDS)]], names=["pattern", *[f"n{k}" for k in range(FOLDS)]])
+
+            for batch in batches:
+                for text, fold in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    found = {p for w in _words(text) for p in patterns(w)}
+                    for p in found if among is None else found & among.value:
+                        seen.setdefault(p, [0] * FOLDS)[fold] += 1
+                if len(seen) > 300_000:
+                    yield flush()
+            if seen:
+                yield flush()
 
-    def count(batches):
-        import pyarrow as pa
-
-        seen: dict = {}
-
-        def flush():
-            names = list(seen)
-            table = np.array(list(seen.values()), np.int64).reshape(len(names), -1)
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(table[:, k]) for k in range(2 * FOLDS)]], names=["pattern", *[f"n{k}" for k in range(2 * FOLDS)]])
+        return run
 
-        for batch in batches:
-            for text, toxic, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                at = 2 * fold + (toxic != 0)
-                for p in {p for w in _words(text) for p in patterns(w)}:
-                    seen.setdefault(p, [0] * (2 * FOLDS))[at] += 1
-            if len(seen) > 300_000:
-                yield flush()
-        if seen:
-            yield flush()
-
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * FOLDS)]
-    toxic_sum = sum((F.col(f"n{2 * k + 1}") for k in range(FOLDS)), F.lit(0))
-    counted = (
-        rows.mapInArrow(count, "pattern string, " + ", ".join(f"n{k} bigint" for k in range(2 * FOLDS)))
-        .groupBy("pattern").agg(*sums).filter(toxic_sum >= 3)
-        .withColumn("lift", toxic_sum / (sum((F.col(f"n{k}") for k in range(2 * FOLDS)), F.lit(0)) + 1.0) * F.log(toxic_sum + 1.0))
-        .orderBy(F.desc("lift"), "pattern").limit(max_patterns).drop("lift").collect()
-    )
+    # Only patterns of at least three toxic texts matter, so only these are counted in the clean ones.
+    toxic_counts = rows.filter("toxic != 0").mapInArrow(count(), counts).groupBy("pattern").agg(*sums).filter(whole >= 3).orderBy(whole.desc(), "pattern").limit(max_patterns).collect()
+    names = [r["pattern"] for r in toxic_counts]
+    among = spark.sparkContext.broadcast(frozenset(names))
+    clean_counts = {r["pattern"]: list(r)[1:] for r in rows.filter("toxic = 0").mapInArrow(count(among), counts).groupBy("pattern").agg(*sums).collect()}
     per_fold = {r["fold"]: (r["toxic"], r["clean"]) for r in rows.groupBy("fold").agg(F.sum(F.expr("int(toxic != 0)")).alias("toxic"), F.sum(F.expr("int(toxic = 0)")).alias("clean")).collect()}
     t_all, c_all = sum(v[0] for v in per_fold.values()), sum(v[1] for v in per_fold.values())
     if not t_all or not c_all:
         raise ValueError("toxic and clean labelled texts are both needed")
-    names = [r["pattern"] for r in counted]
-    table = np.array([list(r)[1:] for r in counted], float).reshape(len(names), FOLDS, 2)
+    table = np.array([[clean_counts.get(r["pattern"], [0] * FOLDS), list(r)[1:]] for r in toxic_counts], float).reshape(len(names), 2, FOLDS).transpose(0, 2, 1)
 
     def evidence(but: int | None) -> dict[str, float]:
         """Cautious log-odds without the fold ``but``."""
