@@ -56,12 +56,23 @@ def parse(source: str) -> Node:
     stack = [root]
     at = 0
 
+    opened: dict[str, int] = {}  # open elements by tag, so that deep nesting is not searched in vain
+
+    def open_(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+
     def close_to(index: int) -> None:
+        for node in stack[index:]:
+            opened[node.tag] -= 1
         del stack[index:]
 
     def find(tags, limits) -> int:
         """Place of the lowest open element of ``tags`` above any of ``limits``, or 0."""
         best = 0
+        if not any(opened.get(t) for t in tags):
+            return best
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 best = i
@@ -89,9 +100,11 @@ def parse(source: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
                 continue
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not opened.get("p"):
                 stack[-1].children.append(Node("p"))
                 continue
+            if not any(opened.get(t) for t in (HEADINGS if tag in HEADINGS else (tag,))):
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag or tag in HEADINGS and stack[i].tag in HEADINGS:
                     close_to(i)
@@ -99,32 +112,29 @@ def parse(source: str) -> Node:
                 if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", stack[i].tag):
                     break
             continue
-        if tag in CLOSES_P and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in SCOPE), 0)) and stack[i].tag == "p":
+        if tag in CLOSES_P and opened.get("p") and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in SCOPE), 0)) and stack[i].tag == "p":
             close_to(i)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            close_to(len(stack) - 1)
         if tag in IMPLIED and (i := find(*IMPLIED[tag])):
             close_to(i)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            open_(Node("tr"))
         if stack[-1].tag == "head" and tag not in UNSEEN:
-            stack.pop()
+            close_to(len(stack) - 1)
         attributes = {}
         for m in _attribute.finditer(hit[3]):
             attributes.setdefault(m[1].lower(), html.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
-        if tag in VOID:
+        if tag not in VOID and tag not in RAW:
+            open_(node)
             continue
+        stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(source, at)
             body = source[at : end.start()] if end else source[at:]
             node.children.append(body if tag in ("script", "style") else html.unescape(body))
             at = end.end() if end else len(source)
-            continue
-        stack.append(node)
     return root
 
 
