@@ -181,13 +181,13 @@ def fuse(evidence: DataFrame, languages: list[str], strength: float = 8.0) -> Da
     pack = lambda name: [F.array(*[F.col(f"c{i}") for i in range(count)]).alias(name)]
     hosts = materialise(evidence.groupBy("host", "domain", "suffix").agg(F.count(F.lit(1)).alias("n"), *sums), "hosts")
     level = lambda keys, name: hosts.groupBy(*keys).agg(F.sum("n").alias(f"{name}_n"), *again).select(*keys, f"{name}_n", *pack(name))
-    total = level([], "corpus")
+    total = hosts.agg(F.sum("n").alias("n"), *again).first()  # one number per language
     # Rates of a level: its counts and ``strength`` rows dealt by the rates above it.
     mix = lambda counts, n, above: F.transform(counts, lambda c, i: (c + F.lit(strength) * F.element_at(above, i + 1)) / (n + F.lit(strength)))
-    top = F.transform("corpus", lambda c: (c + 1.0 / count) / (F.col("corpus_n") + 1.0))
+    top = F.array(*[F.lit(((total[f"c{i}"] or 0.0) + 1.0 / count) / ((total["n"] or 0) + 1.0)) for i in range(count)])
     priors = (
         hosts.select("host", "domain", "suffix", "n", *pack("counts"))
-        .join(level(["domain", "suffix"], "d"), ["domain", "suffix"]).join(level(["suffix"], "s"), "suffix").join(F.broadcast(total))
+        .join(level(["domain", "suffix"], "d"), ["domain", "suffix"]).join(level(["suffix"], "s"), "suffix")
         .withColumn("top", top).withColumn("of_suffix", mix(F.col("s"), F.col("s_n"), F.col("top")))
         .withColumn("above", mix(F.col("d"), F.col("d_n"), F.col("of_suffix")))
         .select("host", F.col("n").alias("host_n"), "counts", "above")

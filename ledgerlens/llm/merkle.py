@@ -93,7 +93,7 @@ def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str],
     low = -(1 << 63)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
     light = docs.select(key.alias("_key"))
-    n = light.count()
+    n, start = light.agg(F.count(F.lit(1)), F.min("_key")).first()
     groups = max(1, -(-n // group_rows), min(96, n // 400))
     coarse = min(groups, 1024)
     bounds = sorted(set(light.agg(F.percentile_approx("_key", [k / coarse for k in range(1, coarse)], 100_000).alias("q")).first()["q"] or [])) if coarse > 1 else []
@@ -107,11 +107,10 @@ def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str],
     # The first key of each group, and of the group after it. Groups meet in windows of 1,024 by their number, then of one row per window.
     firsts = light.select("_key", block.alias("_block")).groupBy("_block").agg(F.min("_key").alias("_first")).withColumn("_bin", F.floor(F.col("_block") / 1024))
     bins = firsts.groupBy("_bin").agg(F.min("_first").alias("_first")).select("_bin", F.lead("_first").over(Window.orderBy("_bin")).alias("_after"))
-    start = light.agg(F.min("_key").alias("_start"))
     after = (
         firsts.withColumn("_then", F.lead("_first").over(Window.partitionBy("_bin").orderBy("_block")))
-        .join(bins, "_bin").join(F.broadcast(start))
-        .select("_block", F.coalesce("_then", "_after", "_start").alias("_head"))
+        .join(bins, "_bin")
+        .select("_block", F.coalesce("_then", "_after", F.lit(start).cast("long")).alias("_head"))
     )
     spots = after.select(F.col("_head").alias("_key")).distinct()
     head = (
