@@ -99,16 +99,19 @@ def hilbert_shards(
     shards empty.
     """
     codes, n = _quantised(docs, list(dims), bits)
-    cell = hilbert_index(codes, bits)
+    cell = sum((F.shiftleft(c.cast("long"), k * bits) for k, c in enumerate(codes)), F.lit(0))
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(id_col),
-        cell.alias("curve_index"),
+        cell.alias("_cell"),
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    cells = rows.groupBy("curve_index").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_parts"))
-    dealt = rows.join(F.broadcast(cells), "curve_index").withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts"))).drop("_parts")
+    # The curve is followed once per cell, not per row.
+    places = [F.shiftright("_cell", k * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for k in range(len(codes))]
+    counts = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_parts"))
+    cells = counts.withColumn("curve_index", hilbert_index(places, bits))
+    dealt = rows.join(F.broadcast(cells), "_cell").drop("_cell").withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts"))).drop("_parts")
     order = Window.orderBy("curve_index", "_part")
     starts = (
         dealt.groupBy("curve_index", "_part").agg(F.count(F.lit(1)).alias("_rows"))
