@@ -838,6 +838,12 @@ def m1(spark, sf_dir):
     return ML.scored(model, x.filter("split = 'test'"), names).select("txn_id", "label", F.round("score", 6).alias("score"))
 
 
+@query("m1_rounds_by_validation")
+def m1_rounds(spark, sf_dir):
+    x, names, model = _boosted(spark, sf_dir)
+    return rounded(ML.prefix_quality(x.filter("validation"), ML.trees_of(model, names), every=2))
+
+
 @query("m2_isolation_forest")
 def m2(spark, sf_dir):
     x, names = _matrix(spark, sf_dir)

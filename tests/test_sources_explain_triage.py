@@ -131,6 +131,19 @@ def test_contributions_are_exact_shapley_values(spark):
     assert all(r["score"] == pytest.approx(1 / (1 + exp(-margins[r["txn_id"]]))) for r in scored)
 
 
+def test_early_stopping_after_the_fact(spark):
+    df, model = small_model(spark)
+    trees = ML.trees_of(model, ["a", "b", "c"])
+    got = {r["rounds"]: r["average_precision"] for r in ML.prefix_quality(df, trees, every=1).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    for n in got:
+        part = ML.Trees(trees.names, trees.nodes[:n], trees.scale[:n])
+        scores = ML.explain(df, part).select("txn_id", F.round(1 / (1 + F.exp(-F.col("margin"))), 5).alias("score")).join(df, "txn_id")
+        assert M.ranking_quality(scores, "score", "label").first()["average_precision"] == pytest.approx(got[n], abs=1e-6)
+    best = ML.best_prefix(df, trees, every=1)
+    assert got[len(best.nodes)] == max(got.values())
+
+
 def test_model_round_trip_and_base_value(spark, tmp_path):
     df, model = small_model(spark)
     names = ["a", "b", "c"]
