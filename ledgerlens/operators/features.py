@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.expressions import add_usd_amount, in_band
+from ..sources.scratch import materialise
 from ..sources.transfers import require_columns
 from .graph import daily_graph_features
 from .windows import DAY, Measure, account_windows, at_account
@@ -48,7 +49,7 @@ def with_ratios(df: DataFrame, days=C.WINDOW_DAYS, eps: float = 1.0) -> DataFram
 def account_features(txns: DataFrame, days=C.WINDOW_DAYS) -> DataFrame:
     """``txns`` with all window features of sender and receiver, structuring scores and ratios; never null."""
     require_columns(txns.columns, REQUIRED, "account_features")
-    windows = account_windows(txns, window_measures(days))
+    windows = materialise(account_windows(txns, window_measures(days)), "account-windows")  # read for the sender and for the receiver
     sender, receiver = role_columns(days)
     rows = at_account(at_account(txns, windows, "from_account_key", sender), windows, "to_account_key", receiver)
     return with_ratios(rows.fillna(0, [*sender.values(), *receiver.values()]), days)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..sources.scratch import materialise
 from ..sources.transfers import require_columns
 
 FEATURES = ["graph_in_degree", "graph_out_degree", "graph_fan_in_score", "graph_fan_out_score", "graph_in_cycle"]
@@ -40,6 +41,8 @@ def on_short_cycles(edges: DataFrame, length: int = C.CYCLE_LENGTH) -> DataFrame
     proper = edges.filter("src != dst")
     both = proper.select("as_of", F.col("src").alias("n")).distinct().join(proper.select("as_of", F.col("dst").alias("n")).distinct(), ["as_of", "n"])
     core = proper.join(both.withColumnRenamed("n", "src"), ["as_of", "src"], "left_semi").join(both.withColumnRenamed("n", "dst"), ["as_of", "dst"], "left_semi").select("as_of", "src", "dst")
+    if length >= 2:
+        core = materialise(core, "graph-core")  # every length reads it again
     found = loops
     if length >= 2:
         back = core.select("as_of", F.col("src").alias("dst"), F.col("dst").alias("src"))
@@ -76,7 +79,8 @@ def snapshot_features(edges: DataFrame, length: int = C.CYCLE_LENGTH) -> DataFra
 
 def daily_graph_features(txns: DataFrame, length: int = C.CYCLE_LENGTH, lookback: int = C.LOOKBACK_DAYS) -> DataFrame:
     """txn_id and the sender's and the receiver's graph features as of the transfer's day; 0 and false without history."""
-    found = snapshot_features(visible_edges(txns, lookback), length)
+    edges = materialise(visible_edges(txns, lookback), "visible-edges")
+    found = materialise(snapshot_features(edges, length), "graph-snapshot")
     rows = txns.select("txn_id", F.to_date("timestamp").alias("as_of"), "from_account_key", "to_account_key")
     for role, key in (("sender", "from_account_key"), ("receiver", "to_account_key")):
         side = found.select("as_of", F.col("account_key").alias(key), *[F.col(f).alias(f"{role}_{f}") for f in FEATURES])

@@ -68,16 +68,16 @@ def account_windows(txns: DataFrame, measures: list[Measure], amount: str = "amo
         "account_key", F.col("_x.t").alias("t"), (F.col("_x.w") == 0).alias("probe"),
         *[turn(m).alias(m.name) for m in summed], *[zero[m.name] for m in distinct],
     )
-    for way in sorted({m.direction for m in distinct}):
-        own = [m for m in distinct if m.direction == way]
-        meets = rows.filter(F.col("direction") == way).select("account_key", "counterparty", "_t").distinct()
-        following = F.lead("_t").over(Window.partitionBy("account_key", "counterparty").orderBy("_t"))
-        meets = meets.withColumn("_next", following)
-        ends = [F.least(F.coalesce(F.col("_next"), F.col("_t") + m.width), F.col("_t") + m.width) for m in own]
+    if distinct:
+        meets = rows.select("account_key", "direction", "counterparty", "_t").distinct()
+        following = F.lead("_t").over(Window.partitionBy("account_key", "direction", "counterparty").orderBy("_t"))
+        spans = sorted({m.width for m in distinct})
+        ends = [F.least(F.coalesce(following, F.col("_t") + w), F.col("_t") + w) for w in spans]
         times = F.array(F.struct(F.col("_t").alias("t"), F.lit(0).alias("w")), *[F.struct(e.alias("t"), F.lit(i + 1).alias("w")) for i, e in enumerate(ends)])
-        step = {m.name: F.when(F.col("_x.w") == 0, F.lit(1)).when(F.col("_x.w") == i + 1, F.lit(-1)).otherwise(F.lit(0)).cast("bigint").alias(m.name) for i, m in enumerate(own)}
+        sign = lambda m: F.when(F.col("direction") != m.direction, 0).when(F.col("_x.w") == 0, 1).when(F.col("_x.w") == spans.index(m.width) + 1, -1).otherwise(0).cast("bigint").alias(m.name)
         deltas = deltas.unionByName(
-            meets.withColumn("_x", F.explode(times)).select("account_key", F.col("_x.t").alias("t"), F.lit(False).alias("probe"), *[step.get(m.name, zero[m.name]) for m in measures])
+            meets.withColumn("_times", times).select("account_key", "direction", F.explode("_times").alias("_x"))
+            .select("account_key", F.col("_x.t").alias("t"), F.lit(False).alias("probe"), *[sign(m) if m in distinct else zero[m.name] for m in measures])
         )
     points = deltas.groupBy("account_key", "t").agg(F.max("probe").alias("probe"), *[F.sum(m.name).alias(m.name) for m in measures])
     so_far = Window.partitionBy("account_key").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
