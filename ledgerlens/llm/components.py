@@ -23,23 +23,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a != b").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges in one file of the written tables.
+FILE_EDGES = 200_000
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """Node and its component (the least node in it), for every node that has a link to another.
 
     ``links`` are undirected pairs; repeated pairs and loops are fine, pairs
     with a null end are left out. Rounds are logarithmic in the number of
     nodes for chains and few for stars; a hub's rows are only aggregated or
     joined, which adaptive execution splits. Nothing is collected but one
-    count and checksum per round.
+    count and checksum per round, which also says how many files the next
+    round writes. ``files`` gathers the links of many small tasks into as many
+    files at first.
     """
-    edges = materialise(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b"), "links")
+    first = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b")
+    edges = materialise(first.repartition(files) if files else first, "links")
     sign = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
-    last = None
+    last, n = None, edges.count()
     while True:
-        edges = materialise(_star(_star(edges, True), False), "stars")
+        edges = materialise(_star(_star(edges, True), False).coalesce(-(-n // FILE_EDGES) or 1), "stars")
         now = tuple(edges.agg(sign.alias("s")).first()["s"])
         if now == last or not now[0]:
             break
-        last = now
+        last, n = now, now[0]
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

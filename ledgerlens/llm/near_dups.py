@@ -38,6 +38,8 @@ COORDS = 64
 SMALL = 256
 NODE_ROWS = 200_000
 ROOM_ROWS = 2_000
+#: Classes, or documents' results, in one file of a written table.
+CLASS_ROWS = 50_000
 MAX_DEPTH = 30
 FIRST_TREES = 3
 _SEED = 20_240_501
@@ -268,12 +270,12 @@ def _rooms(classes: DataFrame, similarity: float, trees: int) -> DataFrame:
     """
     first = sum(tree < FIRST_TREES for tree, _ in _selected(similarity, trees))
     start = classes.select("class", "sketch", F.slice("nodes", 1, first).alias("nodes"), F.col("class").alias("label"))
-    early = materialise(ties(start, similarity), "early-ties")
-    known = components(early).select(F.col("node").alias("class"), F.col("component").alias("label"))
+    files = -(-classes.count() // CLASS_ROWS) or 1
+    known = components(ties(start, similarity), files=files).select(F.col("node").alias("class"), F.col("component").alias("label"))
     rest = classes.select("class", "sketch", F.slice("nodes", first + 1, 10_000).alias("nodes")).join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
     late = ties(rest, similarity)
     joined = late.unionByName(known.select(F.col("class").alias("a"), F.col("label").alias("b")))
-    return materialise(components(joined).withColumnsRenamed({"node": "class", "component": "room"}), "rooms")
+    return materialise(components(joined, files=files).withColumnsRenamed({"node": "class", "component": "room"}), "rooms")
 
 
 def _links(share: int):
@@ -350,7 +352,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     line = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     signed = materialise(signatures(line, shingle, similarity, trees), "signatures")
     classes = materialise(
-        signed.filter("class is not null").groupBy("class").agg(F.min("id").alias("least_id"), F.min(F.struct("sketch", "nodes")).alias("s")).select("class", "least_id", "s.sketch", "s.nodes"),
+        signed.filter("class is not null").groupBy("class").agg(F.min("id").alias("least_id"), F.min(F.struct("sketch", "nodes")).alias("s")).select("class", "least_id", "s.sketch", "s.nodes").coalesce(-(-signed.count() // CLASS_ROWS) or 1),
         "classes",
     )
     rooms = _rooms(classes, similarity, trees)
@@ -366,7 +368,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         .select("room", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "class", "found")
         .repartition("room", "i", "j").sortWithinPartitions("room", "i", "j")
     )
-    exact = components(dealt.mapInArrow(_links(share), "a binary, b binary"))
+    exact = components(dealt.mapInArrow(_links(share), "a binary, b binary"), files=-(-classes.count() // CLASS_ROWS) or 1)
     joined = exact.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
     least = joined.groupBy("component").agg(F.min("least_id").alias("least"))
     named = classes.join(exact.join(least, "component").select(F.col("node").alias("class"), "least"), "class", "left").select("class", F.coalesce("least", "least_id").alias("component_id"))
@@ -385,7 +387,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
     marked = docs.withColumn("_row", key)
-    found = materialise(near_duplicates(marked.select("_row", text_col), shingle, similarity, id_col="_row", text_col=text_col), "near-duplicates")
+    found = materialise(near_duplicates(marked.select("_row", text_col), shingle, similarity, id_col="_row", text_col=text_col).coalesce(-(-docs.count() // CLASS_ROWS) or 1), "near-duplicates")
     left = drop_rows(marked, found.filter(~F.col("kept")).select("_row").distinct())
     repeated = found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row")
     if not repeated.isEmpty():
