@@ -104,7 +104,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
         counts[k, own["slot"].to_numpy(np.int64)] = own["n"].to_numpy(float)
     logs = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * SLOTS))
     mean = (counts * logs).sum(1) / np.maximum(counts.sum(1), 1)
-    return LanguageModel([*languages, UNKNOWN], logs, float(mean.min() - MARGIN))
+    floor = float(mean.min() - MARGIN)
+    # A tenth of every language is noise, so keys, numbers and names in a text do not outweigh its words.
+    return LanguageModel([*languages, UNKNOWN], np.log(0.9 * np.exp(logs) + 0.1 * np.exp(floor)), floor)
 
 
 def _evidence(rows: DataFrame, model: LanguageModel, markup: bool) -> DataFrame:
