@@ -30,10 +30,11 @@ def steps(value: Column, bounds: list) -> Column:
     return F.when(value.isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), lift))
 
 
-def cuts(df: DataFrame, column: str, pieces: int = PIECES) -> list:
-    """Distinct approximate quantiles of a numeric column."""
-    found = df.agg(F.percentile_approx(column, [k / pieces for k in range(1, pieces)], 10_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+def cuts(df: DataFrame, *columns: str, pieces: int = PIECES) -> list[list]:
+    """Distinct approximate quantiles of numeric columns, all from one pass."""
+    levels = [k / pieces for k in range(1, pieces)]
+    found = df.agg(*[F.percentile_approx(c, levels, 10_000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return [sorted(set(q or [])) for q in found]
 
 
 def _piece(lead: str, bounds: list) -> Column:
@@ -52,7 +53,7 @@ def positions(df: DataFrame, lead: str, tie: str, descending: bool = True, out:
     ``lead`` must be numeric without nulls, ``tie`` a number that tells rows
     apart. Equal pairs get different positions in no fixed order.
     """
-    bounds, ties = cuts(df, lead), cuts(df, tie)
+    bounds, ties = cuts(df, lead, tie)
     piece = _piece(lead, bounds)
     split = df.withColumn("_p", -piece if descending else piece)
     split = split.withColumn("_t", F.when(F.pmod("_p", F.lit(2)) == 0, steps(F.col(tie), ties)).otherwise(F.lit(0)))
@@ -65,7 +66,7 @@ def positions(df: DataFrame, lead: str, tie: str, descending: bool = True, out:
 
 def running_totals(df: DataFrame, lead: str, measures: list[str], descending: bool = True) -> DataFrame:
     """``df`` with ``cum_<m>``: the total of each measure up to and with the row's ``lead``, which must be unique."""
-    piece = _piece(lead, cuts(df, lead))
+    piece = _piece(lead, cuts(df, lead)[0])
     split = df.withColumn("_p", -piece if descending else piece)
     totals = split.groupBy("_p").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     before = Window.orderBy("_p")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .. import config as C
 from ..functions.expressions import ratio
 from ..functions.ordered import positions, running_totals
+from ..sources.scratch import materialise
 from .windows import micros
 
 
@@ -70,7 +71,7 @@ def precision_at_k(df: DataFrame, ks, label: str = "is_laundering") -> DataFrame
 
 def alert_queue(df: DataFrame, target: float, label: str = "is_laundering") -> DataFrame:
     """Ranked rows with in_alert_queue: the shortest prefix of the ranking with at least the target recall."""
-    positives = df.filter(F.col(label) == 1).select("rank")
+    positives = materialise(df.filter(F.col(label) == 1).select("rank"), "positive-ranks")  # few rows, read three times
     total = positives.count()
     if not total:
         raise ValueError("no positive rows, recall is undefined")
@@ -118,7 +119,7 @@ def thin_curve(curve: DataFrame, points: int = 300) -> DataFrame:
 
 def recall_curve(df: DataFrame, label: str = "is_laundering") -> DataFrame:
     """Recall at every rank that holds a positive: rank, hits, recall."""
-    positives = df.filter(F.col(label) == 1).select("rank")
+    positives = materialise(df.filter(F.col(label) == 1).select("rank"), "positive-ranks")
     total = positives.agg(F.count(F.lit(1)).alias("t"))
     hits = positions(positives, "rank", "rank", descending=False, out="hits")
     return hits.join(F.broadcast(total), how="cross").select("rank", "hits", (F.col("hits") / F.col("t")).alias("recall"))

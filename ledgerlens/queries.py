@@ -614,8 +614,8 @@ cut AS (SELECT min(rank) AS model_alerts FROM cum, base WHERE hits >= caught)
 SELECT baseline_alerts, CAST(model_alerts AS BIGINT) AS model_alerts, round(1 - model_alerts / baseline_alerts, 6) AS reduction FROM base, cut""")
 def e4(spark, sf_dir):
     """Rules over the whole history, then only the test rows; the model's queue at the rules' recall."""
-    flagged = R.apply_rules(usd(spark, sf_dir))
-    test = M.time_ordered_split(flagged).filter("split = 'test'")
+    flagged = scratch.materialise(R.apply_rules(usd(spark, sf_dir)), "flagged")
+    test = scratch.materialise(M.time_ordered_split(flagged).filter("split = 'test'"), "flagged-test")
     base = test.agg(F.count_if("alert").alias("alerts"), F.count_if(F.col("alert") & (F.col("is_laundering") == 1)).alias("caught"), F.sum("is_laundering").alias("positives")).first()
     model = M.alert_queue(M.ranked(test), base["caught"] / base["positives"]).agg(F.count_if("in_alert_queue").alias("model_alerts"))
     return rounded(model.select(F.lit(base["alerts"]).cast("bigint").alias("baseline_alerts"), "model_alerts", M.alert_reduction(F.col("model_alerts"), F.lit(float(base["alerts"]))).alias("reduction")))
