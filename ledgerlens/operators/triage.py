@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import positions
+from ..sources.scratch import materialise
 from .metrics import rank_deciles
 
 #: Columns of the review table that people read, in order.
@@ -62,18 +63,20 @@ def explanation_sample(df: DataFrame, negatives: int, seed: int = 42, label: str
 
 def demo_rows(df: DataFrame, target: int, seed: int = 42, score: str = "score", label: str = "is_laundering") -> DataFrame:
     """Positives and queue whole, then others up to ``target`` rows: equal numbers per score decile, the remainder by hash; never fewer than the first two."""
+    df = materialise(df, "ranked-queue")  # read once per stratum
     core = df.filter((F.col(label) == 1) | F.col("in_alert_queue"))
     kept = core.withColumn("stratum", F.when(F.col(label) == 1, "positive").otherwise("queue"))
     pool = df.filter(~((F.col(label) == 1) | F.col("in_alert_queue")))
     room = target - core.count()
     if room <= 0:
         return kept
-    dealt = rank_deciles(pool, score).withColumn("_h", F.xxhash64("txn_id", F.lit(seed)).cast("double"))
+    dealt = materialise(rank_deciles(pool, score).withColumn("_h", F.xxhash64("txn_id", F.lit(seed)).cast("double")), "deciles")
     quota = room // 10
     groups = [dealt.filter(F.col("decile") == d).orderBy("_h", "txn_id").limit(quota) for d in range(10)]
     filler = groups[0]
     for g in groups[1:]:
         filler = filler.unionByName(g)
+    filler = materialise(filler, "filler")
     rest = dealt.join(filler.select("txn_id"), "txn_id", "left_anti").orderBy("_h", "txn_id").limit(room - 10 * quota)
     short = filler.count() - 10 * quota
     if short < 0:
