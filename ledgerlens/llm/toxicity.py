@@ -28,6 +28,8 @@ SEVERE_HITS = 4
 FOLDS = 5
 #: Evidence of a pattern that counts at all.
 LEAST = 1.0
+#: A text is toxic from even odds on; a stricter bar lets texts through whose one toxic word is certain.
+THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 
 
@@ -219,7 +221,7 @@ def probabilities(texts: list[str], model: ToxicityModel, strength: Strengths) -
     return out
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col``, p_low_quality, p_toxic, p_severe, toxic (p_toxic at or above ``threshold``) and strongest, the word with the most evidence.
 
     Nulls: a null or empty text has no evidence and gets the base rates; a
@@ -246,7 +248,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return line.mapInArrow(run, schema).withColumn("toxic", F.col("p_toxic") >= threshold).withColumnRenamed("_id", id_col)
 
 
-def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns as they are; one pass without a join."""
     spark = docs.sparkSession
     small_batches(spark)

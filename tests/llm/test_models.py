@@ -118,6 +118,17 @@ def test_toxicity_of_odd_rows(spark):
         toxicity.train(docs, labels.filter("toxic = 0"))
 
 
+def test_more_likely_toxic_than_not_is_toxic(spark):
+    """A text with one toxic word and a probability of 0.6 is toxic, one of 0.4 is not."""
+    even = [np.zeros(8), np.zeros(9), np.zeros(10)]
+    even[1][:2] = [-5.0, 1.0]
+    model = toxicity.ToxicityModel({"awful": 5.0 + np.log(0.6 / 0.4), "poor": 5.0 - np.log(0.6 / 0.4)}, even, np.zeros(7), np.ones(7))
+    docs = spark.createDataFrame([(1, "an awful day"), (2, "a poor day"), (3, "a day")], "doc_id long, text string")
+    got = {r["doc_id"]: (round(r["p_toxic"], 3), r["toxic"], r["strongest"]) for r in toxicity.score(docs, model).collect()}
+    assert got == {1: (0.6, True, "awful"), 2: (0.4, False, None), 3: (0.007, False, None)}
+    assert [r["doc_id"] for r in toxicity.keep_clean(docs, model).orderBy("doc_id").collect()] == [2, 3]
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage on what the one before kept: a planted toxic text, copies and noise go, the rest stays."""
     import corpus_pipeline
