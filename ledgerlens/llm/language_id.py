@@ -12,7 +12,7 @@ posterior(language) is proportional to
 Host counts come from one grouped sum over hosts (combined before the shuffle,
 so a host with a third of all pages is one row per task) and two more over its
 small result. Pages join their host's row, which adaptive execution broadcasts
-or splits. Models hold a fixed number of trigram slots per language.
+or splits. Models hold a fixed number of trigram slots for every declared language.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .shared import drop_rows, materialise, shape, small_batches
 
 SLOTS = 1 << 15
 TEMPER = 60
+#: Every language learns from about this many rows, if it has them, however many languages share ``max_rows``.
+LEAST_ROWS = 200
 #: A text whose best language explains its trigrams by this many nats each less than that language's own texts is of no known language.
 MARGIN = 3.0
 UNKNOWN = "und"
@@ -66,21 +68,22 @@ def slots(text: str):
     return (mixed >> np.uint64(49)).astype(np.int64)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 6000, max_languages: int = 32) -> LanguageModel:
-    """Fit trigram models on about ``max_rows`` labelled rows, chosen by a hash of the text.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 6000) -> LanguageModel:
+    """Fit trigram models of all labelled languages on about ``max_rows`` rows, chosen by a hash of the text, or ``LEAST_ROWS`` a language if that is more.
 
-    Only slot counts reach the driver: ``SLOTS`` numbers per language at most.
-    Rows with a null text or label are not used; without any labelled row a
-    ValueError says so. Ties in the number of rows go to the earlier label.
+    A label counts up to its first hyphen (en-US is en), as declared languages
+    do. Only slot counts reach the driver: ``SLOTS`` numbers per language at
+    most. Rows with a null text, or a null, empty or unknown (``UNKNOWN``)
+    label, are not used; without any labelled row a ValueError says so.
     """
     import numpy as np
 
     small_batches(labelled.sparkSession)
-    named = labelled.select(F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col)).alias("lang")).filter("text is not null and lang is not null")
-    by = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    named = labelled.select(F.col(text_col).cast("string").alias("text"), F.substring_index(F.lower(F.col(lang_col)), "-", 1).alias("lang")).filter(F.col("text").isNotNull() & ~F.col("lang").isin("", UNKNOWN))
+    by = named.groupBy("lang").count().collect()
     if not by:
         raise ValueError("no labelled rows to learn languages from")
-    share = {r["lang"]: min(1.0, max_rows / len(by) / r["count"]) for r in by}
+    share = {r["lang"]: min(1.0, max(max_rows / len(by), min(max_rows, LEAST_ROWS)) / r["count"]) for r in by}
     cut = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     sample = named.filter((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6) < cut[F.col("lang")])
 
@@ -96,12 +99,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], names=["lang", "slot", "n"])
 
-    found = sample.mapInArrow(run, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique())
+    found = sample.mapInArrow(run, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    place = {lang: k for k, lang in enumerate(sorted(found["lang"].unique().to_pylist()))}
+    languages = list(place)
     counts = np.zeros((len(languages), SLOTS))
-    for k, lang in enumerate(languages):
-        own = found[found["lang"] == lang]
-        counts[k, own["slot"].to_numpy(np.int64)] = own["n"].to_numpy(float)
+    for batch in found.to_batches():
+        counts[[place[x] for x in batch.column(0).to_pylist()], batch.column(1).to_numpy()] = batch.column(2).to_numpy()
     logs = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * SLOTS))
     mean = (counts * logs).sum(1) / np.maximum(counts.sum(1), 1)
     floor = float(mean.min() - MARGIN)
@@ -151,7 +154,8 @@ def _evidence(rows: DataFrame, model: LanguageModel, markup: bool) -> DataFrame:
                 suffix = labels[-1] if len(labels) > 1 else ""
                 at = slots(body)
                 logs = np.empty(count)
-                logs[:-1] = m.logs[:, at].sum(1)
+                # Long texts by slot rather than by trigram: with many languages the looked-up numbers would not fit.
+                logs[:-1] = m.logs[:, at].sum(1) if len(at) <= SLOTS else m.logs @ np.bincount(at, minlength=SLOTS)
                 logs[-1] = m.floor * len(at)
                 logs *= min(1.0, TEMPER / max(1, len(at)))
                 if not len(at):

@@ -45,6 +45,26 @@ def test_unknown_text_is_rejected_and_evidence_counts(spark, documents, language
         language_id.train(documents.filter("false"))
 
 
+def test_every_declared_language_is_kept(spark):
+    """Forty languages with alphabets of their own, some rare and one spelled in several ways: all are learned and none leaves."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        letters = [chr(0x400 + 6 * k + i) for i in range(6)]
+        for i in range(4 if k >= 36 else 12):
+            text = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60))
+            lang = f"l{k}" if k or i % 3 else ("L0", "l0-ab")[i % 2]
+            rows.append((len(rows), text, lang, f"src{k % 3}"))
+    rows.append((len(rows), rows[0][1] * 400, "l0", "src0"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(docs.unionByName(docs.limit(3).withColumn("lang", F.lit(""))).unionByName(docs.limit(3).withColumn("lang", F.lit("und"))))
+    assert model.languages == [*sorted(f"l{k}" for k in range(40)), "und"]
+    kept = language_id.keep_known(docs, model)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(rows)))
+    got = language_id.identify_documents(docs, model, declared_col=None).withColumnRenamed("lang", "got").join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.filter("got != split(lower(lang), '-')[0]").count() == 0
+
+
 def test_host_prior_against_brute_force(spark, languages):
     """Smoothed host, domain, suffix and corpus counts without the page's own share."""
     names, k = languages.languages, 8.0
