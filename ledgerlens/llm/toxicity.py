@@ -108,7 +108,7 @@ def _probability(x, w):
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_patterns: int = 50_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> ToxicityModel:
     """Fit the chain on at most about ``max_rows`` labelled rows, chosen by a hash of their id.
 
     Labels are the columns toxic and quality (1: good); rows with a null in
@@ -160,16 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return run
 
-    # Only patterns of at least three toxic texts matter, so only these are counted in the clean ones.
-    toxic_counts = rows.filter("toxic != 0").mapInArrow(count(), counts).groupBy("pattern").agg(*sums).filter(whole >= 3).orderBy(whole.desc(), "pattern").limit(max_patterns).collect()
-    names = [r["pattern"] for r in toxic_counts]
+    # Only patterns of at least three toxic texts matter, so only these are counted in the clean ones; the sample bounds them.
+    by_fold = lambda found: np.stack([found[f"n{k}"].to_numpy() for k in range(FOLDS)], axis=1)
+    toxic_counts = rows.filter("toxic != 0").mapInArrow(count(), counts).groupBy("pattern").agg(*sums).filter(whole >= 3).toArrow()
+    names = toxic_counts["pattern"].to_pylist()
     among = spark.sparkContext.broadcast(frozenset(names))
-    clean_counts = {r["pattern"]: list(r)[1:] for r in rows.filter("toxic = 0").mapInArrow(count(among), counts).groupBy("pattern").agg(*sums).collect()}
+    clean_counts = rows.filter("toxic = 0").mapInArrow(count(among), counts).groupBy("pattern").agg(*sums).toArrow()
     per_fold = {r["fold"]: (r["toxic"], r["clean"]) for r in rows.groupBy("fold").agg(F.sum(F.expr("int(toxic != 0)")).alias("toxic"), F.sum(F.expr("int(toxic = 0)")).alias("clean")).collect()}
     t_all, c_all = sum(v[0] for v in per_fold.values()), sum(v[1] for v in per_fold.values())
     if not t_all or not c_all:
         raise ValueError("toxic and clean labelled texts are both needed")
-    table = np.array([[clean_counts.get(r["pattern"], [0] * FOLDS), list(r)[1:]] for r in toxic_counts], float).reshape(len(names), 2, FOLDS).transpose(0, 2, 1)
+    place = {pattern: i for i, pattern in enumerate(names)}
+    table = np.zeros((len(names), FOLDS, 2))
+    table[:, :, 1] = by_fold(toxic_counts)
+    table[[place[pattern] for pattern in clean_counts["pattern"].to_pylist()], :, 0] = by_fold(clean_counts)
 
     def evidence(but: int | None) -> dict[str, float]:
         """Cautious log-odds without the fold ``but``."""

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import islice, product
 
 import numpy as np
 import pytest
@@ -138,6 +139,16 @@ def test_toxicity_of_odd_rows(spark):
         toxicity.train(docs, labels.filter("toxic = 0"))
 
 
+def test_rare_evidence_beside_many_common_patterns(spark):
+    """A word of three toxic texts counts, although 60,000 patterns are in more of them."""
+    common = " ".join(map("".join, islice(product("abcdefghijklmnopqrst", repeat=4), 30_000)))
+    texts = [(f"{common} {i}", 1) for i in range(4)] + [(f"zwomp tail {i}", 1) for i in range(3)] + [(f"krul tail {i}", 1) for i in range(100)] + [(f"{'tail ' * 5}{i}", 0) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.evidence["zwomp"] > toxicity.LEAST and model.evidence["krul"] > model.evidence["zwomp"] and "tail" not in model.evidence
+
+
 def test_more_likely_toxic_than_not_is_toxic(spark):
     """A text with one toxic word and a probability of 0.6 is toxic, one of 0.4 is not."""
     even = [np.zeros(8), np.zeros(9), np.zeros(10)]
