@@ -7,40 +7,46 @@
    and a class goes to one child per selected coordinate, named by its minwise
    token there; two sets at the wanted similarity then share one child or more
    in expectation, at every level.
-2. Classes that meet in a node are branched on, again by selected tokens, until
-   a node is small; there all sketches are compared. Members of a large node
-   that look like a pivot of it are tied to the pivot and leave the node, so a
-   big group of near copies does not branch for ever.
+2. Nodes of more than ``NODE_ROWS`` classes are branched on by Spark, again by
+   selected tokens, until all are small; in these all sketches are compared.
+   Members of a large node that look like its pivot are tied to the pivot and
+   leave the node, so a big group of near copies does not branch for ever. What
+   tokens do not part in ``MAX_DEPTH`` levels is compared as pairs of blocks.
 3. These ties only say which classes belong in one room: connected components
    of the ties. Rooms are checked on the full sets, blocks of a room pair by
    pair, and exact links give the final components.
 
 Scale: one row per class and node is shuffled, with a 64-byte sketch; full sets
 are read only for classes that have a tie. Copies collapse into their class
-before any join. Nodes above ``NODE_ROWS`` are branched by Spark itself, and a
+before any join. A node's task compares at most NODE_ROWS rows at a time, and a
 room larger than ``ROOM_ROWS`` is dealt as pairs of blocks, so no task holds
 more than a fixed number of rows. A room of m members costs (m / ROOM_ROWS)
 copies of its sets. Recall: a pair is missed if in no tree it shares a path, or
 if 64 coordinates estimate it 0.2 too low; with 12 trees that is below one in a
-thousand for pairs at the threshold and far below for closer ones, and links
-are only needed to connect a group, not between all of its pairs.
+thousand for pairs at the threshold and far below for closer ones. Where a
+pair's nodes are all large, each level of branching keeps it in about two of
+three trees: with the 15 first nodes of 12 trees one in a hundred thousand is
+missed after one level and one in a hundred after four. Links are only needed
+to connect a group, not between all of its pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_rows, materialise, shape, small_batches
+from .shared import drop_rows, materialise, portions, shape, unused
 
 COORDS = 64
-SMALL = 256
-NODE_ROWS = 200_000
-ROOM_ROWS = 2_000
-#: Classes, or documents' results, in one file of a written table.
-CLASS_ROWS = 50_000
+NODE_ROWS = 4_000
+#: Classes, and bytes of their sets, in one block of a room.
+ROOM_ROWS, ROOM_BYTES = 1_000, 16 << 20
+#: Shared shingles that are counted at a time when blocks of a room are compared.
+COLUMNS = 4_096
 MAX_DEPTH = 30
+#: Links in one file of the tables that components are found from.
+FILE_ROWS = 50_000
 FIRST_TREES = 3
 _SEED = 20_240_501
 
@@ -101,7 +107,6 @@ def _selected(similarity: float, trees: int) -> list[tuple[int, int]]:
 
 def signatures(docs: DataFrame, shingle: int, similarity: float, trees: int) -> DataFrame:
     """id, n_shingles, class, sketch (one byte per coordinate) and first-level nodes of every row of (id, text)."""
-    small_batches(docs.sparkSession)
     id_col, text_col = docs.columns
     chosen = _selected(similarity, trees)
     schema = shape(docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(b"").alias("class"), F.lit(b"").alias("sketch"), F.array(F.lit(0).cast("long")).alias("nodes")))
@@ -115,7 +120,7 @@ def signatures(docs: DataFrame, shingle: int, similarity: float, trees: int) ->
         shift = rng.integers(0, 1 << 63, COORDS, np.uint64)
         tags = rng.integers(1, 1 << 63, (256, COORDS), np.uint64) * np.uint64(2) + np.uint64(1)
         cache = WordHashes()
-        for batch in batches:
+        for batch in portions(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), shingle, cache)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -139,8 +144,8 @@ def signatures(docs: DataFrame, shingle: int, similarity: float, trees: int) ->
     return docs.mapInArrow(run, schema)
 
 
-def _split_nodes(batches):
-    """Runs of rows of one node, from batches sorted by node: lists of (first columns, sketch matrix)."""
+def _groups(batches, keys: tuple):
+    """Tables of whole runs of rows of one key, from batches sorted by the key columns, with the first row of each run and the number of rows."""
     import numpy as np
     import pyarrow as pa
 
@@ -148,101 +153,131 @@ def _split_nodes(batches):
     for batch in batches:
         table = pa.Table.from_batches([batch])
         kept = table if kept is None else pa.concat_tables([kept, table])
-        nodes = kept.column("node").to_numpy()
-        last = int(np.searchsorted(nodes, nodes[-1])) if len(nodes) else 0
-        if last:
-            yield kept.slice(0, last).combine_chunks()
-            kept = kept.slice(last)
+        if kept.num_rows:
+            cuts = _cuts(kept, keys)
+            if len(cuts):
+                yield kept.slice(0, int(cuts[-1])).combine_chunks(), np.concatenate([[0], cuts])
+                kept = kept.slice(int(cuts[-1]))
     if kept is not None and kept.num_rows:
-        yield kept.combine_chunks()
+        yield kept.combine_chunks(), np.array([0, kept.num_rows])
 
 
-def _ties(wanted: int, similarity: float):
-    """mapInArrow function: rows sorted by node -> ties of classes with at least ``wanted`` equal coordinates, enough to connect those that have any."""
+def _cuts(table, keys: tuple):
+    """Rows whose key differs from that of the row before."""
+    import numpy as np
+
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        new |= v[1:] != v[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def _equal(a, b):
+    """Number of equal coordinates of every sketch of ``a`` with every one of ``b``."""
+    import numpy as np
+
+    same = np.zeros((len(a), len(b)), np.uint8)
+    for c in range(COORDS):
+        same += a[:, c, None] == b[None, :, c]
+    return same
+
+
+class _Forest:
+    """Groups of rows by label; ``tie`` joins a row's group with those of others and lists one pair for each that is new."""
+
+    def __init__(self, label):
+        self.group, self.left, self.right = label.copy(), [], []
+
+    def tie(self, row: int, others) -> None:
+        import numpy as np
+
+        others = others[self.group[others] != self.group[row]]
+        if len(others):
+            found, first = np.unique(self.group[others], return_index=True)
+            self.left += [row] * len(first)
+            self.right += others[first].tolist()
+            self.group[np.isin(self.group, found)] = self.group[row]
+
+
+def _pairs(names, found: list):
+    """Arrow batch of (a, b) from forests of a table's rows: (first row, forest)."""
+    import numpy as np
+    import pyarrow as pa
+
+    a = np.array([lo + x for lo, f in found for x in f.left], np.int64)
+    b = np.array([lo + x for lo, f in found for x in f.right], np.int64)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], names=["a", "b"])
+
+
+def _ties(wanted: int):
+    """mapInArrow function: (node, i, j, side, class, sketch, label) sorted by node, i, j -> ties of classes with at least ``wanted`` equal coordinates, enough to connect those that have any."""
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        for table in _split_nodes(batches):
-            nodes = table.column("node").to_numpy()
-            names = table.column("class").chunk(0) if table.num_rows else None
+        for table, starts in _groups(batches, ("node", "i", "j")):
+            names = table.column("class").chunk(0)
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
             label = pc.dictionary_encode(table.column("label").chunk(0)).indices.to_numpy()
-            cuts = np.flatnonzero(np.diff(nodes)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(nodes)]])
-            left, right = [], []
-            twos = starts[ends - starts == 2]
-            hit = twos[((sketch[twos] == sketch[twos + 1]).sum(1) >= wanted) & (label[twos] != label[twos + 1])]
-            left.append(hit)
-            right.append(hit + 1)
-
-            def tie(a, b):
-                new = label[a] != label[b]
-                left.append(a[new])
-                right.append(b[new])
-
-            def compare(rows):
-                """Star of each connected set of alike rows."""
-                free = rows
-                while len(free) > 1:
-                    group, edge = free[:1], free[:1]
-                    free = free[1:]
-                    while len(edge) and len(free):
-                        near = (sketch[free][:, None, :] == sketch[edge][None, :, :]).sum(2).max(1) >= wanted
-                        edge, free = free[near], free[~near]
-                        tie(np.full(len(edge), group[0], np.int64), edge)
-
-            def solve(rows, seed, depth):
-                rng = np.random.default_rng(seed)
-                rows = rng.permutation(rows)
-                while len(rows) > SMALL:
-                    near = (sketch[rows] == sketch[rows[0]]).sum(1) >= wanted
-                    if near.sum() < 3:
-                        break
-                    tie(np.full(int(near.sum()) - 1, rows[0], np.int64), rows[near][1:])
-                    rows = rows[~near]
-                if len(rows) <= SMALL:
-                    compare(rows)
-                elif depth == MAX_DEPTH:  # tokens no longer part these rows: all pairs, a block at a time
-                    for i in range(len(rows)):
-                        near = (sketch[rows[i + 1 :]] == sketch[rows[i]]).sum(1) >= wanted
-                        tie(np.full(int(near.sum()), rows[i], np.int64), rows[i + 1 :][near])
-                else:
-                    hits = np.flatnonzero(rng.random(COORDS) < 3 / (similarity * COORDS))
-                    for c in hits if len(hits) else [int(rng.integers(COORDS))]:
-                        values = sketch[rows, c]
-                        for v in np.flatnonzero(np.bincount(values, minlength=256) > 1):
-                            solve(rows[values == v], (seed * 31 + int(c) * 257 + int(v) + 1) % (1 << 63), depth + 1)
-
-            for lo, hi in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+            cross, side = table.column("i").to_numpy() != table.column("j").to_numpy(), table.column("side").to_numpy()
+            forests = []
+            sizes = np.diff(starts)
+            twos = starts[:-1][sizes == 2]
+            keep = (label[twos] != label[twos + 1]) & (~cross[twos] | (side[twos] != side[twos + 1])) & ((sketch[twos] == sketch[twos + 1]).sum(1) >= wanted)
+            for lo in twos[keep].tolist():
+                forests.append((lo, _Forest(label[lo : lo + 2])))
+                forests[-1][1].tie(0, np.array([1]))
+            for lo, hi in zip(starts[:-1][sizes > 2].tolist(), starts[1:][sizes > 2].tolist(), strict=True):
                 if (label[lo:hi] == label[lo]).all():
                     continue
-                if hi - lo <= 8:
-                    compare(np.arange(lo, hi))
-                else:
-                    solve(np.arange(lo, hi), int(nodes[lo]) & ((1 << 62) - 1), 1)
-            a, b = np.concatenate(left), np.concatenate(right)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], names=["a", "b"])
+                forest, mine = _Forest(label[lo:hi]), sketch[lo:hi]
+                first = np.flatnonzero(~side[lo:hi]) if cross[lo] else np.arange(hi - lo)
+                for at in range(0, len(first), 512):
+                    rows = first[at : at + 512]
+                    others = np.flatnonzero(side[lo:hi]) if cross[lo] else np.arange(at, hi - lo)
+                    near = _equal(mine[rows], mine[others]) >= wanted
+                    if not cross[lo]:
+                        near &= others[None, :] > rows[:, None]
+                    for k in np.flatnonzero(near.any(1)).tolist():
+                        forest.tie(int(rows[k]), others[near[k]])
+                if forest.left:
+                    forests.append((lo, forest))
+            if forests:
+                yield _pairs(names, forests)
 
     return run
 
 
+def dealt_in_blocks(rows: DataFrame, key: str, name: str, most: int, weight: Column | None = None, most_weight: int = 1) -> DataFrame:
+    """``rows`` with i, j and side: keys of at most ``most`` rows (and ``most_weight``) whole as (0, 0), larger ones as all pairs of blocks of about that size."""
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(weight) / most_weight) if weight is not None else F.count(F.lit(1)) / most)
+    sizes = rows.groupBy(key).agg(parts.cast("int").alias("blocks")).filter("blocks > 1")
+    seats = rows.join(sizes, key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(name), F.col("blocks")).cast("int"), F.lit(0)))
+    pairs = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return pairs.select(*rows.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
+
+
 def ties(classes: DataFrame, similarity: float) -> DataFrame:
     """Pairs of classes of different labels that some tree brought together and whose sketches look alike.
 
     Rows are (class, sketch, nodes, label); classes of one label are known to
     be connected and are not tied again.
     """
-    spark = classes.sparkSession
     wanted = int((similarity - 0.2) * COORDS)
     level = classes.select("class", "sketch", "label", F.explode("nodes").alias("node"))
-    found, depth = [], 0
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("side")]
+    small, found, depth = [], [], 0
+    # Pivots differ from node to node, so what one pivot's star cuts off from its members another's does not.
+    pivot = F.min(F.struct(F.xxhash64("node", "class").alias("h"), "class", "sketch")).alias("pivot")
     while True:
-        heavy = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "sketch")).alias("pivot")).filter(F.col("n") > NODE_ROWS), "heavy")
-        if depth == MAX_DEPTH or heavy.isEmpty():
+        heavy = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), pivot).filter(F.col("n") > NODE_ROWS), "heavy")
+        if heavy.isEmpty():
+            small.append(level.select("node", "class", "sketch", "label", *whole))
+            break
+        if depth == MAX_DEPTH:
+            small.append(dealt_in_blocks(level.select("node", "class", "sketch", "label"), "node", "class", NODE_ROWS))
             break
         big = level.join(heavy.drop("n"), "node")
         alike = F.aggregate(F.sequence(F.lit(1), F.lit(COORDS)), F.lit(0), lambda n, i: n + (F.substring("sketch", i, F.lit(1)) == F.substring(F.col("pivot")["sketch"], i, F.lit(1))).cast("int"))
@@ -252,11 +287,13 @@ def ties(classes: DataFrame, similarity: float) -> DataFrame:
         coord = F.filter(F.sequence(F.lit(1), F.lit(COORDS)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(chance * (1 << 20)))
         coord = F.when(F.size(coord) > 0, coord).otherwise(F.array((F.pmod(F.xxhash64("node", F.lit(0)), F.lit(COORDS)) + 1).cast("int")))
         deeper = big.filter(~F.col("near")).select("class", "sketch", "label", "node", F.explode(coord).alias("c"))
-        deeper = deeper.select("class", "sketch", "label", F.xxhash64("node", "c", F.substring("sketch", F.col("c"), F.lit(1))).alias("node"))
-        level = materialise(level.join(heavy, "node", "left_anti").select("class", "sketch", "label", "node").unionByName(deeper), "level")
+        small.append(level.join(heavy, "node", "left_anti").select("node", "class", "sketch", "label", *whole))
+        level = materialise(deeper.select("class", "sketch", "label", F.xxhash64("node", "c", F.substring("sketch", F.col("c"), F.lit(1))).alias("node")), "level")
         depth += 1
-    rows = level.select("node", "class", "sketch", "label").repartition("node").sortWithinPartitions("node")
-    out = rows.mapInArrow(_ties(wanted, similarity), "a binary, b binary")
+    rows = small[0]
+    for more in small[1:]:
+        rows = rows.unionByName(more)
+    out = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_ties(wanted), "a binary, b binary")
     for pairs in found:
         out = out.unionByName(pairs)
     return out
@@ -270,7 +307,7 @@ def _rooms(classes: DataFrame, similarity: float, trees: int) -> DataFrame:
     """
     first = sum(tree < FIRST_TREES for tree, _ in _selected(similarity, trees))
     start = classes.select("class", "sketch", F.slice("nodes", 1, first).alias("nodes"), F.col("class").alias("label"))
-    files = -(-classes.count() // CLASS_ROWS) or 1
+    files = -(-classes.count() // FILE_ROWS) or 1
     known = components(ties(start, similarity), files=files).select(F.col("node").alias("class"), F.col("component").alias("label"))
     rest = classes.select("class", "sketch", F.slice("nodes", first + 1, 10_000).alias("nodes")).join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
     late = ties(rest, similarity)
@@ -278,46 +315,56 @@ def _rooms(classes: DataFrame, similarity: float, trees: int) -> DataFrame:
     return materialise(components(joined, files=files).withColumnsRenamed({"node": "class", "component": "room"}), "rooms")
 
 
+def _shared(sets: list, first, second):
+    """Size of the intersection of each set of rows ``first`` with each of ``second``: products of 0/1 columns, COLUMNS shingles at a time."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    number = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]))
+    often = np.bincount(number) > 1  # a shingle of one set alone is in no intersection
+    keep = often[number]
+    owner, number = owner[keep], (np.cumsum(often) - 1)[number[keep]]
+    total = np.zeros((len(first), len(second)), np.float32)
+    for lo in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(number, [lo, lo + COLUMNS])
+        table = np.zeros((len(sets), min(COLUMNS, int(often.sum()) - lo)), np.float32)
+        table[owner[a:b], number[a:b] - lo] = 1
+        total += table[first] @ table[second].T
+    return total
+
+
 def _links(share: int):
-    """mapInArrow function: sets of a pair of blocks of a room -> exact links that connect what is connected."""
+    """mapInArrow function: sets of a pair of blocks of a room, sorted by room, i, j -> exact links that connect what is connected."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def linked(x, y):
-            if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
-                return False
-            both = len(x & y)
-            return 100 * both >= share * (len(x) + len(y) - both)
-
-        def solve(room):
-            """Groups found so far, each as lists by side; a row is tried against a group until one member links."""
-            groups, out = [], []
-            for name, side, found in room:
-                mine = []
-                for g in groups:
-                    for other, theirs, s in g:
-                        if (side == s) != cross and linked(found, theirs):
-                            out.append((other, name))
-                            mine.append(g)
-                            break
-                rest = [g for g in groups if not any(g is m for m in mine)]
-                groups = [*rest, [x for m in mine for x in m] + [(name, found, side)]]
-            return out
-
-        key, room, cross = None, [], False
-        for batch in batches:
-            pairs = []
-            for at, i, j, side, name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (at, i, j) != key:
-                    pairs += solve(room)
-                    key, room, cross = (at, i, j), [], i != j
-                room.append((name, side, set(np.frombuffer(raw, np.uint64).tolist())))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
-        if pairs := solve(room):
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        for table, starts in _groups(batches, ("room", "i", "j")):
+            names, raw = table.column("class").chunk(0), table.column("found").chunk(0)
+            cross, side = table.column("i").to_numpy() != table.column("j").to_numpy(), table.column("side").to_numpy()
+            forests = []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                here = np.arange(hi - lo)
+                first, second = (here[~side[lo:hi]], here[side[lo:hi]]) if cross[lo] else (here, here)
+                if hi - lo < 2 or not len(first) or not len(second):
+                    continue
+                sets = [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+                sizes = np.array([len(x) for x in sets])
+                both = _shared(sets, first, second)
+                near = 100 * both.astype(np.float64) >= share * (sizes[first][:, None] + sizes[second][None, :] - both)
+                if not cross[lo]:
+                    near &= second[None, :] > first[:, None]
+                forest = _Forest(here)
+                for k in np.flatnonzero(near.any(1)).tolist():
+                    forest.tie(int(first[k]), second[near[k]])
+                if forest.left:
+                    forests.append((lo, forest))
+            if forests:
+                yield _pairs(names, forests)
 
     return run
 
@@ -327,7 +374,7 @@ def _sets(shingle: int):
         import pyarrow as pa
 
         cache = WordHashes()
-        for batch in batches:
+        for batch in portions(batches, 0):
             sets = shingle_sets(batch.column(0).to_pylist(), shingle, cache)
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "found"])
 
@@ -352,23 +399,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     line = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     signed = materialise(signatures(line, shingle, similarity, trees), "signatures")
     classes = materialise(
-        signed.filter("class is not null").groupBy("class").agg(F.min("id").alias("least_id"), F.min(F.struct("sketch", "nodes")).alias("s")).select("class", "least_id", "s.sketch", "s.nodes").coalesce(-(-signed.count() // CLASS_ROWS) or 1),
+        signed.filter("class is not null").groupBy("class").agg(F.min("id").alias("least_id"), F.min(F.struct("n_shingles", "sketch", "nodes")).alias("s")).select("class", "least_id", "s.n_shingles", "s.sketch", "s.nodes"),
         "classes",
     )
     rooms = _rooms(classes, similarity, trees)
     # Full sets of the classes that share a room with another, from one document of each.
     picked = classes.join(rooms, "class", "left_semi").select(F.col("least_id").alias("_id")).distinct()
     texts = line.join(picked, line["_id"].eqNullSafe(picked["_id"]), "left_semi").select("_text")
-    sets = texts.mapInArrow(_sets(shingle), "class binary, found binary")
-    sizes = rooms.groupBy("room").agg(F.ceil(F.count(F.lit(1)) / ROOM_ROWS).cast("int").alias("blocks"))
-    seats = rooms.join(sizes, "room").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = (
-        sets.join(seats, "class").dropDuplicates(["class"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("room", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"), "class", "found")
-        .repartition("room", "i", "j").sortWithinPartitions("room", "i", "j")
-    )
-    exact = components(dealt.mapInArrow(_links(share), "a binary, b binary"), files=-(-classes.count() // CLASS_ROWS) or 1)
+    sets = texts.mapInArrow(_sets(shingle), "class binary, found binary").dropDuplicates(["class"])
+    seats = dealt_in_blocks(rooms.join(classes.select("class", "n_shingles"), "class"), "room", "class", ROOM_ROWS, 8 * F.col("n_shingles"), ROOM_BYTES)
+    dealt = sets.join(seats, "class").select("room", "i", "j", "side", "class", "found").repartition("room", "i", "j").sortWithinPartitions("room", "i", "j")
+    exact = components(dealt.mapInArrow(_links(share), "a binary, b binary"), files=-(-classes.count() // FILE_ROWS) or 1)
     joined = exact.join(classes.select(F.col("class").alias("node"), "least_id"), "node")
     least = joined.groupBy("component").agg(F.min("least_id").alias("least"))
     named = classes.join(exact.join(least, "component").select(F.col("node").alias("class"), "least"), "class", "left").select("class", F.coalesce("least", "least_id").alias("component_id"))
@@ -383,14 +424,16 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float
     """The rows of ``docs`` with one document of each near-duplicate group, all columns as they are.
 
     Rows are told apart by id and text, so a repeated id with another text is
-    another document; of repeated rows with words one stays.
+    another document; of repeated rows with words one stays. Nulls as in
+    ``near_duplicates``: a row without words is nobody's copy and stays.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    marked = docs.withColumn("_row", key)
-    found = materialise(near_duplicates(marked.select("_row", text_col), shingle, similarity, id_col="_row", text_col=text_col).coalesce(-(-docs.count() // CLASS_ROWS) or 1), "near-duplicates")
-    left = drop_rows(marked, found.filter(~F.col("kept")).select("_row").distinct())
-    repeated = found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select("_row")
+    row = unused(docs.columns, "_row")
+    marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    pairs = marked.select(F.col(row).alias("_row"), F.col(text_col).alias("_text"))
+    found = materialise(near_duplicates(pairs, shingle, similarity, id_col="_row", text_col="_text"), "near-duplicates")
+    left = drop_rows(marked, found.filter(~F.col("kept")).select(F.col("_row").alias(row)).distinct(), row)
+    repeated = found.filter("kept and n_shingles > 0").groupBy("_row").count().filter("count > 1").select(F.col("_row").alias(row))
     if not repeated.isEmpty():
-        again = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-        left = drop_rows(left, repeated).unionByName(again)
+        again = left.join(repeated, row, "left_semi").dropDuplicates([row])
+        left = drop_rows(left, repeated, row).unionByName(again)
     return left.select(*docs.columns)

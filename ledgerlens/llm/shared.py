@@ -1,4 +1,4 @@
-"""Session limits and small helpers of the operators here; tables in the shared folder come from the library's sources."""
+"""Small helpers of the operators here; tables in the shared folder come from the library's sources."""
 
 from __future__ import annotations
 
@@ -9,15 +9,34 @@ from pyspark.sql.types import StructField, StructType
 from ..functions.ordered import steps
 from ..sources.scratch import materialise, new_folder
 
-__all__ = ["drop_rows", "materialise", "new_folder", "shape", "small_batches", "steps", "width"]
+__all__ = ["drop_rows", "materialise", "new_folder", "portions", "shape", "steps", "unused", "width"]
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow and Parquet batches of the session short, so that very long texts stay within a worker's and an executor's memory."""
-    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
-        now = int(spark.conf.get(key))
-        if now <= 0 or now > rows:
-            spark.conf.set(key, str(rows))
+def portions(batches, column: int = 1, most_bytes: int = 1 << 20, rows: int = 256):
+    """The rows of Arrow batches in short runs: at most ``rows``, and at most ``most_bytes`` in the text ``column`` unless one row has more.
+
+    Workers so need memory for a run, whatever the session's batch size is;
+    batches themselves are bounded in bytes by the session's own setting.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most_bytes, "right"))
+            stop = min(max(stop, at + 1), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def width(spark: SparkSession) -> int:
@@ -35,3 +54,11 @@ def drop_rows(rows: DataFrame, gone: DataFrame, key: str = "_row", most: int = 5
     gone = materialise(gone.select(F.col(key).alias("_gone")), "gone")
     few = gone.count() <= most
     return rows.join(F.broadcast(gone) if few else gone, rows[key].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Keep Arrow and Parquet batches of the session short; being replaced by ``portions``."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        now = int(spark.conf.get(key))
+        if now <= 0 or now > rows:
+            spark.conf.set(key, str(rows))

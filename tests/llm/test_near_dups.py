@@ -81,6 +81,7 @@ def test_large_nodes_and_rooms_are_split(spark, monkeypatch):
     want = brute(rows, 2)
     monkeypatch.setattr(N, "NODE_ROWS", 40)
     monkeypatch.setattr(N, "ROOM_ROWS", 30)
+    monkeypatch.setattr(N, "MAX_DEPTH", 2)
     assert result(N.near_duplicates(docs(spark, rows), 2)) == want
 
 
@@ -116,6 +117,41 @@ def test_recall_of_borderline_pairs(spark):
     assert found >= 0.99 * pairs > 100
 
 
+@pytest.mark.parametrize("node_rows", [30, 4_000])
+def test_recall_on_both_sides_of_the_node_limit(spark, monkeypatch, node_rows):
+    """Pairs near the threshold among texts that share half their words, so that first nodes hold nearly all: Spark branches them, or they are compared."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(60)]
+    rows, pairs = [], 0
+    for i in range(60):
+        w = shared + [f"{rng.randrange(10**9)}" for _ in range(60)]
+        cut = rng.randrange(0, 10)
+        v = w[:-cut] + [f"{rng.randrange(10**9)}" for _ in range(cut)] if cut else w + ["end"]
+        a, b = shingles(" ".join(w), 2), shingles(" ".join(v), 2)
+        pairs += 100 * len(a & b) >= 80 * len(a | b)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    monkeypatch.setattr(N, "NODE_ROWS", node_rows)
+    found = N.near_duplicates(docs(spark, rows), 2).filter("not kept").count()
+    assert 0.9 * pairs <= found <= pairs and pairs > 50
+
+
+def test_shared_counts_by_columns(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 120), np.uint64)) for _ in range(40)]
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    first, second = np.arange(15), np.arange(10, 40)
+    want = [[len(set(sets[a].tolist()) & set(sets[b].tolist())) for b in second] for a in first]
+    assert (N._shared(sets, first, second) == np.array(want)).all()
+
+
+def test_large_sets_are_dealt_by_bytes(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:rng.randrange(300)] + [f"x{i}"] + base[300:])) for i in range(20)] + [(100 + i, " ".join(base + [f"y{i}"])) for i in range(20)]
+    monkeypatch.setattr(N, "ROOM_BYTES", 8_000)
+    assert result(N.near_duplicates(docs(spark, rows), 2)) == brute(rows, 2)
+
+
 def test_shingle_hash_is_order_and_length_aware():
     cache = N.WordHashes()
     sets = N.shingle_sets(["a b", "b a", "a b c", "a", None], 2, cache)
