@@ -1,13 +1,16 @@
 """Hilbert-curve sharding: rows that are close in several metadata dimensions share a file.
 
-Each dimension is quantised to ``bits`` bits by its own quantiles, the codes
-become an index on the Hilbert curve, rows are ordered by that index and the
-order is cut into runs whose row counts differ by one at most (law ``rows``).
-
-Scale: positions come from counts of curve cells (at most 2**(bits * dims)
-rows, so broadcast is bounded) and of sub-cells of about ``cell_rows`` rows, so
-a cell with a third of all rows is dealt over many tasks. Only ids, sizes and
-checksums are shuffled, never texts.
+Each dimension is quantised to ``bits`` bits by its own quantiles, spread over
+all codes so that a dimension of few values decides the curve's coarse turns
+too; the codes become an index on the Hilbert curve, rows are ordered by that
+index and the order is cut into runs whose row counts differ by one at most
+(law ``rows``). ``shard_ranges`` gives what a reader prunes files by.
+
+Scale: the texts are read once, for their sizes and checksums; ids, these and
+the dimensions are written and everything else works on that table. Positions
+come from counts of curve cells (at most 2**(bits * dims) rows, broadcast up to
+BROADCAST_BITS) and of sub-cells of about ``cell_rows`` rows, so a cell with a
+third of all rows is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import steps
+from .shared import materialise, steps
+
+#: Cells are broadcast if there are at most 2 to this power of them.
+BROADCAST_BITS = 18
 
 
 def _curve_tables(dims: int) -> tuple[list[int], list[int], list[int]]:
@@ -75,7 +81,11 @@ def _quantised(df: DataFrame, dims: list[str], bits: int) -> tuple[list[Column],
         keys.setdefault(c, F.col(c).cast("double") if kinds[c] in ("float", "double") or kinds[c].startswith("decimal") else F.col(c).cast("long"))
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     found = df.agg(*[F.percentile_approx(keys[c], cuts, 10_000).alias(f"q{i}") for i, c in enumerate(dims)]).first()
-    return [steps(keys[c], sorted(set(found[f"q{i}"] or []))).cast("int") for i, c in enumerate(dims)], row["n"]
+    codes = []
+    for i, c in enumerate(dims):
+        bounds = sorted(set(found[f"q{i}"] or []))
+        codes.append(F.floor(steps(keys[c], bounds) * F.lit(1 << bits) / F.lit(len(bounds) + 1)).cast("int"))
+    return codes, row["n"]
 
 
 def hilbert_shards(
@@ -98,34 +108,38 @@ def hilbert_shards(
     are only measured and summed, not moved. Fewer rows than shards leaves
     shards empty.
     """
-    codes, n = _quantised(docs, list(dims), bits)
-    cell = sum((F.shiftleft(c.cast("long"), k * bits) for k, c in enumerate(codes)), F.lit(0))
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(
-        F.col(id_col),
-        cell.alias("_cell"),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
+    light = materialise(
+        docs.select(F.col(id_col).alias("_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *[F.col(c).alias(f"_d{k}") for k, c in enumerate(dims)]), "shard-columns"
     )
+    codes, n = _quantised(light, [f"_d{k}" for k in range(len(dims))], bits)
+    cell = sum((F.shiftleft(c.cast("long"), k * bits) for k, c in enumerate(codes)), F.lit(0))
+    rows = light.select("_id", cell.alias("_cell"), "size", "text_crc32")
     # The curve is followed once per cell, not per row.
     places = [F.shiftright("_cell", k * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for k in range(len(codes))]
     counts = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_parts"))
     cells = counts.withColumn("curve_index", hilbert_index(places, bits))
-    dealt = rows.join(F.broadcast(cells), "_cell").drop("_cell").withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts"))).drop("_parts")
+    cells = F.broadcast(cells) if bits * len(codes) <= BROADCAST_BITS else cells
+    dealt = rows.join(cells, "_cell").drop("_cell").withColumn("_part", F.pmod(F.xxhash64("_id", "text_crc32", "size"), F.col("_parts"))).drop("_parts")
     order = Window.orderBy("curve_index", "_part")
     starts = (
         dealt.groupBy("curve_index", "_part").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_start", F.sum("_rows").over(order) - F.col("_rows")).drop("_rows")
     )
-    within = Window.partitionBy("curve_index", "_part").orderBy(id_col, "text_crc32", "size")
+    within = Window.partitionBy("curve_index", "_part").orderBy("_id", "text_crc32", "size")
     place = F.col("_start") + F.row_number().over(within) - 1
     return (
         dealt.join(starts, ["curve_index", "_part"])
         .withColumn("_at", place.cast("long"))
         .withColumn("shard", F.expr(f"cast((_at * {shards}L) div {max(n, 1)}L as int)"))
         .select(
-            id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+            F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
             (F.col("_at") - F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"), "curve_index",
         )
     )
+
+
+def shard_ranges(rows: DataFrame, dims: list[str] = ("source", "lang", "n_chars"), shard_col: str = "shard") -> DataFrame:
+    """``shard_col``, n_rows and min_<d>, max_<d> of every dimension of ``rows`` (documents with their shard): a reader skips the shards whose range misses its filter."""
+    return rows.groupBy(shard_col).agg(F.count(F.lit(1)).alias("n_rows"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))])
