@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
     docs = _table(spark, sf_dir, "documents")
-    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return score(docs, train(docs, _table(spark, sf_dir, "labels"), strict=False))
 
 
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +30,13 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import edited_prints
 
-    return edited_prints(_table(spark, sf_dir, "documents")).drop("edited_parts")
+    return edited_prints(_table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify_pages, train
 
-    model = train(_table(spark, sf_dir, "documents"))
+    model = train(_table(spark, sf_dir, "documents"), strict=False)
     return identify_pages(_table(spark, sf_dir, "pages"), model).drop("posterior")
 
 
@@ -49,10 +49,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import store, with_features, with_headers
+    from .media import at_digest, store, with_features, with_headers
+    from .shared import materialise
 
-    rows = with_features(with_headers(store(_table(spark, sf_dir, "documents"))))
-    return rows.drop("folder", "shard", "offset")
+    rows, places = store(_table(spark, sf_dir, "documents"))
+    told = materialise(with_features(with_headers(places)), "media-features")
+    return at_digest(rows, told.drop("folder", "rows"), told.select("digest", "rows"))
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +64,7 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import render, rotate
-
-    rows = render(rotate(_table(spark, sf_dir, "conversations")))
-    return rows.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ","))
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
