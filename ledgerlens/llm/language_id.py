@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_rows, materialise, shape, small_batches
+from .shared import drop_rows, materialise, portions, shape, unused
 
 SLOTS = 1 << 15
 TEMPER = 60
@@ -68,30 +68,38 @@ def slots(text: str):
     return (mixed >> np.uint64(49)).astype(np.int64)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 6000) -> LanguageModel:
-    """Fit trigram models of all labelled languages on about ``max_rows`` rows, chosen by a hash of the text, or ``LEAST_ROWS`` a language if that is more.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = 6000, id_col: str = "doc_id", strict: bool = True) -> LanguageModel:
+    """Fit trigram models of all labelled languages on about ``max_rows`` rows, or ``LEAST_ROWS`` a language if that is more.
 
-    A label counts up to its first hyphen (en-US is en), as declared languages
-    do. Only slot counts reach the driver: ``SLOTS`` numbers per language at
-    most. Rows with a null text, or a null, empty or unknown (``UNKNOWN``)
-    label, are not used; without any labelled row a ValueError says so.
+    Rows are chosen by a hash of id and text, within each language, and every
+    language keeps its row of the least hash, so none is lost however often its
+    texts repeat. A label counts up to its first hyphen (en-US is en), as
+    declared languages do. Only slot counts reach the driver: ``SLOTS`` numbers
+    per language at most. Rows with a null text, or a null, empty or unknown
+    (``UNKNOWN``) label, are not used. Without any labelled row a ValueError
+    says so, or, unless ``strict``, the model knows no language.
     """
     import numpy as np
 
-    small_batches(labelled.sparkSession)
-    named = labelled.select(F.col(text_col).cast("string").alias("text"), F.substring_index(F.lower(F.col(lang_col)), "-", 1).alias("lang")).filter(F.col("text").isNotNull() & ~F.col("lang").isin("", UNKNOWN))
-    by = named.groupBy("lang").count().collect()
-    if not by:
+    named = labelled.select(
+        F.col(text_col).cast("string").alias("text"), F.substring_index(F.lower(F.col(lang_col)), "-", 1).alias("lang"),
+        (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)) / float(1 << 40)).alias("draw"),
+    ).filter(F.col("text").isNotNull() & ~F.col("lang").isin("", UNKNOWN))
+    by = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
+    if not by and strict:
         raise ValueError("no labelled rows to learn languages from")
-    share = {r["lang"]: min(1.0, max(max_rows / len(by), min(max_rows, LEAST_ROWS)) / r["count"]) for r in by}
+    if not by:
+        floor = float(-np.log(SLOTS))
+        return LanguageModel([UNKNOWN], np.empty((0, SLOTS)), floor)
+    share = {r["lang"]: max(r["least"], max(max_rows / len(by), min(max_rows, LEAST_ROWS)) / r["n"]) for r in by}
     cut = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    sample = named.filter((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6) < cut[F.col("lang")])
+    sample = named.filter(F.col("draw") <= cut[F.col("lang")]).drop("draw")
 
     def run(batches):
         import pyarrow as pa
 
         counts: dict = {}
-        for batch in batches:
+        for batch in portions(batches, 0):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mine = counts.setdefault(lang, np.zeros(SLOTS, np.int64))
                 mine += np.bincount(slots(text), minlength=SLOTS)
@@ -114,7 +122,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
 
 def _evidence(rows: DataFrame, model: LanguageModel, markup: bool) -> DataFrame:
     """(id, body, declared, address) -> id, host, domain, suffix, declared, n and base (posterior before hosts)."""
-    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = shape(rows.select("id", *[F.lit("").alias(c) for c in ("host", "domain", "suffix", "declared")], F.lit(0).cast("long").alias("n"), F.array(F.lit(0.0)).alias("base")))
 
@@ -139,7 +146,7 @@ def _evidence(rows: DataFrame, model: LanguageModel, markup: bool) -> DataFrame:
             out[place[lang]] = trust
             return np.log(out)
 
-        for batch in batches:
+        for batch in portions(batches):
             hosts, domains, suffixes, declared, sizes, base = [], [], [], [], [], []
             for body, lang, url in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 body = body or ""
@@ -238,7 +245,16 @@ def identify_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source") -> DataFrame:
-    """The rows of ``docs`` in a language of the model, all columns as they are; rows are told apart by id and text."""
-    marked = docs.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
-    found = identify_documents(marked, model, "_row", text_col, declared_col, host_col)
-    return drop_rows(marked, found.filter(~F.col("accepted")).select("_row").distinct()).select(*docs.columns)
+    """The rows of ``docs`` in a language of the model, all columns as they are.
+
+    Rows are told apart by id, text, declared language and host, which is all
+    that a decision depends on. A model without languages has nothing to hold
+    against any row and keeps all. Nulls and repeats as in ``identify_pages``.
+    """
+    if model.languages == [UNKNOWN]:
+        return docs
+    row = unused(docs.columns, "_row")
+    parts = [F.col(c).cast("string").alias(n) for c, n in ((declared_col, "declared"), (host_col, "host")) if c]
+    marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), *parts))
+    found = identify_documents(marked, model, row, text_col, declared_col, host_col)
+    return drop_rows(marked, found.filter(~F.col("accepted")).select(row).distinct(), row).select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialise, shape, small_batches
+from .shared import materialise, portions, shape
 
 #: Words whose ids a worker remembers, over its tasks, before it starts afresh (about 200 bytes each).
 REMEMBERED = 800_000
@@ -28,10 +28,9 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_c
     Returns part (int), ``id_col``, before (tokens ahead of it in its part),
     doc_tokens and ids (little-endian unsigned, two bytes each, or four if the
     vocabulary needs them). Distinct words are encoded once per worker and the
-    ids gathered, which equals encoding the text since ``pattern`` splits it
-    first. A null text is encoded as empty.
+    ids gathered, which equals encoding the text since the file's added tokens
+    and then ``pattern`` split it first. A null text is encoded as empty.
     """
-    small_batches(docs.sparkSession)
     schema = shape(docs.select(F.lit(0).alias("part"), F.col(id_col), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids")))
 
     with open(tokenizer) as f:
@@ -45,16 +44,14 @@ def encoded(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, id_c
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .pretokens import WordIds, coded, splitter
+        from .pretokens import WordIds, coded
 
         part, before = TaskContext.get().partitionId(), 0
         known = WordIds.of(model_text.value, end_id)
         unit = np.uint16 if known.top < 1 << 16 else np.uint32
         size = np.dtype(unit).itemsize
-        split = splitter(pattern)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        split = known.splitter(pattern)
+        for batch in portions(batches):
             known.forget_beyond(REMEMBERED)
             words, counts = [], []
             for text in batch.column(1).to_pylist():
@@ -97,7 +94,7 @@ def pieces(tokens: DataFrame, window: int = 2048, id_col: str = "doc_id") -> Dat
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in portions(batches, 3):
             ids, place, total, packed = batch.columns
             owner, cols = [], [[] for _ in range(7)]
             for row, (at, n, raw) in enumerate(zip(place.to_pylist(), total.to_pylist(), packed.to_pylist(), strict=True)):

@@ -96,7 +96,9 @@ def coded(words: list, codes: Codes) -> np.ndarray:
 class WordIds:
     """Ids of words by a tokenizer file, kept by a Python worker from task to task.
 
-    The word None stands for the end of a document.
+    The word None stands for the end of a document, and a word of type bytes
+    for one of the file's added tokens, which the library looks for in the text
+    before anything else.
     """
 
     _kept: dict = {}
@@ -112,8 +114,13 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model_text)
-        self.model.encode_special_tokens = True
         self.end_id = end_id
+        added = self.model.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in neighbouring characters are not supported")
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        longest = sorted((t.content for t in added.values()), key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.top = max(self.model.get_vocab_size() - 1, end_id)
         # Byte-level vocabularies spell each byte as one character, so a token's length is its number of bytes.
         vocabulary = self.model.get_vocab()
@@ -122,6 +129,22 @@ class WordIds:
             self.sizes[i] = len(token)
         self.codes, self.table = Codes(), IdTable()
 
+    def splitter(self, pattern: str):
+        """Function text -> its words: added tokens as bytes, and the pre-tokens of what stands between them."""
+        split, marks = splitter(pattern), self.marks
+        if marks is None:
+            return split
+
+        def words(text):
+            if not marks.search(text):
+                return split(text)
+            out = []
+            for k, part in enumerate(marks.split(text)):
+                out += [part.encode()] if k % 2 else split(part)
+            return out
+
+        return words
+
     def forget_beyond(self, words: int) -> None:
         if len(self.codes) > words:
             self.codes, self.table = Codes(), IdTable()
@@ -134,6 +157,8 @@ class WordIds:
         for i, w in enumerate(new):
             if w is None:
                 self.table.put(np.array([first + i]), np.array([self.end_id], np.uint32), np.array([1]))
+            elif isinstance(w, bytes):
+                self.table.put(np.array([first + i]), np.array([self.added[w]], np.uint32), np.array([1]))
             else:
                 (joined if w[0] == " " and w[1:].isalpha() and not _rare.search(w) else alone).append(i)
         for lo in range(0, len(joined), 1000):

@@ -20,11 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shape, small_batches
+from .shared import materialise, portions, shape
 
-#: Categories in chain order. ``low_quality`` and ``toxic`` are labels; ``severe`` is toxic with at least SEVERE_HITS distinct toxic patterns.
-CATEGORIES = ("low_quality", "toxic", "severe")
-SEVERE_HITS = 4
+#: Categories in chain order, each by what it means in the labels; the word evidence is that of TARGET.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic != 0", "toxic_low_quality": "toxic != 0 and quality = 0"}
+TARGET = "toxic"
 FOLDS = 5
 #: Evidence of a pattern that counts at all.
 LEAST = 1.0
@@ -41,6 +41,11 @@ class ToxicityModel:
     weights: list
     centre: object
     spread: object
+    categories: tuple = tuple(CATEGORIES)
+
+    @property
+    def target(self) -> int:
+        return self.categories.index(TARGET)
 
 
 def patterns(word: str) -> list[str]:
@@ -108,26 +113,41 @@ def _probability(x, w):
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> ToxicityModel:
+def blank(categories: tuple = tuple(CATEGORIES)) -> ToxicityModel:
+    """A model that has seen no toxic text, or no clean one, and calls nothing anything."""
+    import numpy as np
+
+    weights = [np.zeros(8 + k) for k in range(len(categories))]
+    for w in weights:
+        w[0] = -30.0
+    return ToxicityModel({}, weights, np.zeros(7), np.ones(7), categories)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, categories: dict[str, str] | None = None, strict: bool = True) -> ToxicityModel:
     """Fit the chain on at most about ``max_rows`` labelled rows, chosen by a hash of their id.
 
-    Labels are the columns toxic and quality (1: good); rows with a null in
-    either, or without a text, are not used. Equal texts share
-    a fold, so a copy never vouches for itself. A ValueError says so if no toxic or no clean row
-    remains.
+    ``categories`` (name -> SQL condition over the labels, in chain order, with
+    ``TARGET`` among them) default to ``CATEGORIES`` over the columns toxic and
+    quality (1: good). Rows for which a condition is null, or without a text,
+    are not used; an id labelled more than once is in a category if any of its
+    rows is. Equal texts share a fold, so a copy never vouches for itself. If
+    no toxic or no clean row remains, a ValueError says so, or, unless
+    ``strict``, the model is ``blank``.
     """
     import numpy as np
 
     spark = docs.sparkSession
-    small_batches(spark)
-    usable = labels.filter("toxic is not null and quality is not null")
+    rules = categories or CATEGORIES
+    marks = [F.expr(rule).cast("int").alias(f"y{k}") for k, rule in enumerate(rules.values())]
+    target, kinds = f"y{list(rules).index(TARGET)}", len(rules)
+    usable = labels.select(F.col(id_col).alias("_id"), *marks).na.drop(subset=[f"y{k}" for k in range(kinds)])
     n = usable.count()
     chance = min(1.0, max_rows / max(n, 1))
-    sample = usable.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(chance * (1 << 20))).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int"), F.col("quality").cast("int")).dropDuplicates(["_id"])
+    sample = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(chance * (1 << 20))).groupBy("_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(kinds)])
     # Bounded by max_rows (in expectation), hence the broadcast; the sample's texts are written once and read from there.
     rows = materialise(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-        .join(F.broadcast(sample), "_id").select("text", "toxic", "quality", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")),
+        .join(F.broadcast(sample), "_id").select("text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), *[f"y{k}" for k in range(kinds)]),
         "toxicity-sample",
     )
     counts = "pattern string, " + ", ".join(f"n{k} bigint" for k in range(FOLDS))
@@ -148,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 seen.clear()
                 return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(table[:, k]) for k in range(FOLDS)]], names=["pattern", *[f"n{k}" for k in range(FOLDS)]])
 
-            for batch in batches:
-                for text, fold in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for batch in portions(batches, 0):
+                for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     found = {p for w in _words(text) for p in patterns(w)}
                     for p in found if among is None else found & among.value:
                         seen.setdefault(p, [0] * FOLDS)[fold] += 1
@@ -162,14 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # Only patterns of at least three toxic texts matter, so only these are counted in the clean ones; the sample bounds them.
     by_fold = lambda found: np.stack([found[f"n{k}"].to_numpy() for k in range(FOLDS)], axis=1)
-    toxic_counts = rows.filter("toxic != 0").mapInArrow(count(), counts).groupBy("pattern").agg(*sums).filter(whole >= 3).toArrow()
+    toxic_counts = rows.filter(f"{target} = 1").mapInArrow(count(), counts).groupBy("pattern").agg(*sums).filter(whole >= 3).toArrow()
     names = toxic_counts["pattern"].to_pylist()
     among = spark.sparkContext.broadcast(frozenset(names))
-    clean_counts = rows.filter("toxic = 0").mapInArrow(count(among), counts).groupBy("pattern").agg(*sums).toArrow()
-    per_fold = {r["fold"]: (r["toxic"], r["clean"]) for r in rows.groupBy("fold").agg(F.sum(F.expr("int(toxic != 0)")).alias("toxic"), F.sum(F.expr("int(toxic = 0)")).alias("clean")).collect()}
+    clean_counts = rows.filter(f"{target} = 0").mapInArrow(count(among), counts).groupBy("pattern").agg(*sums).toArrow()
+    per_fold = {r["fold"]: (r["toxic"], r["clean"]) for r in rows.groupBy("fold").agg(F.sum(target).alias("toxic"), F.sum(1 - F.col(target)).alias("clean")).collect()}
     t_all, c_all = sum(v[0] for v in per_fold.values()), sum(v[1] for v in per_fold.values())
     if not t_all or not c_all:
-        raise ValueError("toxic and clean labelled texts are both needed")
+        if strict:
+            raise ValueError("toxic and clean labelled texts are both needed")
+        return blank(tuple(rules))
     place = {pattern: i for i, pattern in enumerate(names)}
     table = np.zeros((len(names), FOLDS, 2))
     table[:, :, 1] = by_fold(toxic_counts)
@@ -190,18 +212,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         strengths = [Strengths(e) for e in folded.value]
-        for batch in batches:
-            d = [describe(text, strengths[fold]) for text, fold in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(d, pa.list_(pa.float64()))], names=["toxic", "quality", "fold", "d"])
+        for batch in portions(batches, 0):
+            d = [describe(text, strengths[fold]) for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(d, pa.list_(pa.float64()))], names=["fold", *[f"y{k}" for k in range(kinds)], "d"])
 
-    got = rows.mapInArrow(pooled, "toxic int, quality int, fold int, d array<double>").toPandas()
+    got = rows.mapInArrow(pooled, "fold int, " + ", ".join(f"y{k} int" for k in range(kinds)) + ", d array<double>").toPandas()
     x = np.stack(got["d"].to_numpy())
-    toxic, fold = got["toxic"].to_numpy() != 0, got["fold"].to_numpy()
+    fold = got["fold"].to_numpy()
     centre, spread = x.mean(0), x.std(0) + 1e-9
     x = np.concatenate([np.ones((len(x), 1)), (x - centre) / spread], axis=1)
-    targets = [got["quality"].to_numpy() == 0, toxic, toxic & (np.round((x[:, 5] * spread[4] + centre[4]) * 20) >= SEVERE_HITS)]
     weights = []
-    for y in targets:
+    for y in [got[f"y{k}"].to_numpy() != 0 for k in range(kinds)]:
         out = np.zeros(len(y))
         for k in range(FOLDS):
             mine = fold == k
@@ -209,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out[mine] = _probability(x[mine], _fit(x[~mine], y[~mine].astype(float)) if (~mine).any() else np.zeros(x.shape[1]))
         weights.append(_fit(x, y.astype(float)))
         x = np.concatenate([x, _log_odds(out)[:, None]], axis=1)
-    return ToxicityModel(evidence(None), weights, centre, spread)
+    return ToxicityModel(evidence(None), weights, centre, spread, tuple(rules))
 
 
 def probabilities(texts: list[str], model: ToxicityModel, strength: Strengths) -> list:
@@ -226,36 +247,34 @@ def probabilities(texts: list[str], model: ToxicityModel, strength: Strengths) -
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id_col``, p_low_quality, p_toxic, p_severe, toxic (p_toxic at or above ``threshold``) and strongest, the word with the most evidence.
+    """``id_col``, p_<category> of each category, toxic (p_toxic at or above ``threshold``) and strongest, the word with the most evidence.
 
     Nulls: a null or empty text has no evidence and gets the base rates; a
     null id is kept. Repeated rows each give a row. An empty table gives an
     empty result. Texts are read whole. Other columns are left out.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     line = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = shape(line.select("_id", *[F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES], F.lit("").alias("strongest")))
+    schema = shape(line.select("_id", *[F.lit(0.0).alias(f"p_{c}") for c in model.categories], F.lit("").alias("strongest")))
 
     def run(batches):
         import pyarrow as pa
 
         m = shared.value
         strength = Strengths(m.evidence)
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out = probabilities(texts, m, strength)
-            top = [max(((strength[w], w) for w in _words(t) if strength[w] > 0), default=(0, None))[1] if p >= threshold else None for t, p in zip(texts, out[1], strict=True)]
+            top = [max(((strength[w], w) for w in _words(t) if strength[w] > 0), default=(0, None))[1] if p >= threshold else None for t, p in zip(texts, out[m.target], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p) for p in out], pa.array(top, pa.string())], names=schema.names)
 
     return line.mapInArrow(run, schema).withColumn("toxic", F.col("p_toxic") >= threshold).withColumnRenamed("_id", id_col)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, all columns as they are; one pass without a join."""
+    """The rows of ``docs`` that are not toxic, all columns as they are; one pass without a join. Nulls and repeats as in ``score``."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -264,8 +283,8 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
         m = shared.value
         strength = Strengths(m.evidence)
-        for batch in batches:
-            p = probabilities([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()], m, strength)[1]
+        for batch in portions(batches, at):
+            p = probabilities([t or "" for t in batch.column(at).cast(pa.string()).to_pylist()], m, strength)[m.target]
             yield batch.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, shape(docs))

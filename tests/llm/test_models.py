@@ -1,6 +1,8 @@
 """Language identification, the toxicity chain and the pipeline, on held-out rows and planted cases."""
 
+import math
 import random
+import re
 from collections import Counter
 from itertools import islice, product
 
@@ -120,7 +122,7 @@ def test_chain_on_held_out_rows(spark):
     assert hit >= 0.97 * (hit + miss) and wrong <= 0.01 * clean
     low = got.agg(F.avg(F.when(F.col("quality") == 0, F.col("p_low_quality"))), F.avg(F.when(F.col("quality") == 1, F.col("p_low_quality")))).first()
     assert low[0] > 0.9 > 0.1 > low[1]
-    assert got.filter("p_severe > p_toxic + 0.05").count() == 0
+    assert got.filter("p_toxic_low_quality > p_toxic + 0.05").count() == 0
     assert [len(w) for w in model.weights] == [8, 9, 10]
     same = toxicity.keep_clean(docs, model)
     assert same.columns == docs.columns and same.count() == toxicity.score(docs, model).filter("not toxic").count()
@@ -149,6 +151,102 @@ def test_rare_evidence_beside_many_common_patterns(spark):
     assert model.evidence["zwomp"] > toxicity.LEAST and model.evidence["krul"] > model.evidence["zwomp"] and "tail" not in model.evidence
 
 
+def test_categories_of_other_labels(spark):
+    """Any label columns make a chain: a later category learns from the log-odds of an earlier one."""
+    docs, labels = labelled(spark)
+    labels = labels.select("doc_id", (F.col("toxic") * 3).alias("grade"))
+    model = toxicity.train(docs, labels, categories={"toxic": "grade > 0", "strong": "grade > 2"})
+    got = toxicity.score(docs, model).join(labels, "doc_id")
+    assert model.categories == ("toxic", "strong") and [len(w) for w in model.weights] == [8, 9]
+    assert got.filter("p_strong > 0.5 and grade = 0 or p_strong < 0.5 and grade = 3").count() <= 0.03 * got.count()
+
+
+def brute_evidence(texts, toxic):
+    """Cautious log-odds of words and their beginnings, from sets of patterns."""
+    sets = [{p for w in re.findall(r"[^\W\d_]+", t.lower()) for p in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) >= n)]} for t in texts]
+    t_all, out = sum(toxic), {}
+    for p in set().union(*sets):
+        a, b = (sum(p in s for s, y in zip(sets, toxic, strict=True) if y == k) for k in (1, 0))
+        odds = math.log((a + 0.5) / (t_all + 1)) - math.log((b + 0.5) / (len(texts) - t_all + 1)) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 2))
+        if a >= 3 and odds > toxicity.LEAST:
+            out[p] = odds
+    return out
+
+
+def test_evidence_and_scores_against_brute_force(spark):
+    docs, labels = labelled(spark, 500, 9)
+    model = toxicity.train(docs, labels)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    want = brute_evidence(list(rows.values()), [marks[i] for i in rows])
+    assert model.evidence == pytest.approx(want)
+    for r in toxicity.score(docs, model).orderBy("doc_id").limit(40).collect():
+        text = rows[r["doc_id"]]
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        found = sorted((e for w in words if (e := max([want.get(p, 0) for p in [w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) >= n)]]))), reverse=True)
+        d = [*(found + [0] * 3)[:3], math.log1p(sum(found[:10])), min(len(found), 20) / 20, sum(c in "%$#&*" for c in text) / max(1, len(text)), math.log(max(1, len(text)))]
+        x = [1.0, *((np.array(d) - model.centre) / model.spread)]
+        for name, w in zip(model.categories, model.weights, strict=True):
+            p = 1 / (1 + math.exp(-min(max(float(np.dot(x, w)), -30), 30)))
+            assert r[f"p_{name}"] == pytest.approx(p)
+            q = min(max(p, 1e-6), 1 - 1e-6)
+            x.append(math.log(q / (1 - q)))
+
+
+def test_three_languages_of_one_repeated_text_each(spark):
+    """Rows are drawn by id and text, so a language whose rows all repeat one text is learned; so is one of repeated rows, by its least hash."""
+    text = {"fr": "le chat est sur la grande table rouge et il dort", "de": "der hund schläft auf dem großen roten tisch heute", "es": "el perro duerme sobre la mesa grande y roja ahora", "it": "il gatto dorme sul tavolo rosso della cucina grande"}
+    rows = [(i, f"the cat sleeps on the large red table number {i} of today", "en", "s") for i in range(200)]
+    rows += [(1000 + i, text[lang], lang, "s") for i, lang in enumerate(["fr", "de", "es"] * 3000)] + [(5, text["it"], "it", "s")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(docs, max_rows=300)
+    assert model.languages == ["de", "en", "es", "fr", "it", "und"]
+    assert language_id.keep_known(docs, model).count() == len(rows)
+
+
+def test_rows_and_columns_of_other_names_stay_as_they_are(spark, languages):
+    """Extra columns named like the operators' own keep their values; rows of one id and text are judged by their own host and language."""
+    import corpus_pipeline
+
+    noise = "qxz wvk jqx zzw kvj qqx " * 30
+    known = "und der hund schläft auf dem großen tisch " * 8
+    rows = [(1, known, "de", "h", "a", "b", 1, 2), (1, known, "de", "h", "a", "b", 1, 2), (2, noise, "und", "h", "c", "d", 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row string, _text string, _id int, toxic int")
+    kept = language_id.keep_known(docs, languages)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == rows[:2]
+    clean = toxicity.keep_clean(docs, toxicity.blank())
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted(rows)
+    apart = corpus_pipeline.one_of_each(spark, docs, "")
+    assert apart.columns == docs.columns and sorted(map(tuple, apart.collect())) == sorted(rows[1:])
+
+
+@pytest.mark.parametrize("case", ["no documents", "no labels", "no toxic labels", "no languages"])
+def test_queries_on_tables_without_rows(spark, tmp_path, case):
+    import corpus_pipeline
+
+    from ledgerlens.llm.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    changed = {"no documents": ("documents", "false"), "no labels": ("labels", "false"), "no toxic labels": ("labels", "toxic = 0"), "no languages": ("documents", "true")}
+    for name in ("documents", "labels", "pages"):
+        rows = spark.read.parquet(f"{small}/{name}.parquet")
+        rows = rows.filter(changed[case][1]) if changed[case][0] == name else rows
+        (rows.withColumn("lang", F.lit(None).cast("string")) if case == "no languages" and name == "documents" else rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    n = docs.count()
+    scored = QUERIES["op1_toxicity"](spark, str(tmp_path)).collect()
+    assert len(scored) == n and (case == "no languages" or not any(r["toxic"] for r in scored))
+    pages = QUERIES["op4_language_id"](spark, str(tmp_path)).collect()
+    assert len(pages) == spark.read.parquet(f"{small}/pages.parquet").count()
+    if case in ("no documents", "no languages"):
+        assert {r["lang"] for r in pages} == {"und"} and not any(r["accepted"] for r in pages)
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert bool(kept) == bool(n)
+    if case == "no documents":
+        for name in ("op2_hilbert_shards", "op3_merkle", "op5_packing", "op6_media", "op7_chosen_path", "op10_word_bpe"):
+            assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
 def test_more_likely_toxic_than_not_is_toxic(spark):
     """A text with one toxic word and a probability of 0.6 is toxic, one of 0.4 is not."""
     even = [np.zeros(8), np.zeros(9), np.zeros(10)]

@@ -70,6 +70,8 @@ def test_empty_tables(spark):
 def test_decode_clash_and_nulls(spark):
     df = spark.createDataFrame([(None, "x"), (np.array([0], "<u4").tobytes(), "y")], "ids binary, DECODED string")
     got = word_bpe.decode(df, RANKS)
+    with pytest.raises(Exception, match="vocabulary lacks"):
+        word_bpe.decode(spark.createDataFrame([(np.array([50_256], "<u4").tobytes(),)], "ids binary"), RANKS).collect()
     assert got.columns == ["ids", "decoded"] and sorted(str(r["decoded"] and bytes(r["decoded"])) for r in got.collect()) == ["None", "b'!'"]
 
 
@@ -78,8 +80,8 @@ def test_packing(spark, window):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(JSON)
-    model.encode_special_tokens = True
-    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    marks = ["<|endoftext|>", "<|endoftext|> after", "before <|endoftext|>", "in<|endoftext|>side", "twice <|endoftext|><|endoftext|> and <|endoftext|>", "<|endoftext |> <|endoftext|", " <|endoftext|>\n"]
+    rows = [(i, t) for i, t in enumerate(TEXTS + marks)]
     want = {i: [*model.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     cut = packing.packed(docs(spark, rows), JSON, PATTERN, window)
     parts, seen = {}, {}
