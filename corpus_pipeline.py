@@ -15,16 +15,14 @@ from ledgerlens.llm.shared import materialise
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose fused evidence names a language; the model learns from the declared languages."""
-    if docs.filter("text is not null and lang is not null").isEmpty():
-        return docs
-    return language_id.keep_known(docs, language_id.train(docs))
+    """Keep documents whose fused evidence names a language; the model learns from the declared languages, and without any all stay."""
+    return language_id.keep_known(docs, language_id.train(docs, strict=False))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the classifier chain does not call toxic; it learns from the labels of the documents still there."""
+    """Keep documents that the classifier chain does not call toxic; it learns from the labels of the documents still there, and without toxic ones all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels, strict=False))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +31,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents that are left into sequences of 2048 tokens; one row per piece."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
+    """Pack all documents that are left into sequences of 2048 tokens; one row per piece, with its ids (four bytes each)."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [("language_id", known_language), ("toxicity", not_toxic), ("near_dedup", one_of_each), ("packing", packed)]
