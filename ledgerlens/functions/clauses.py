@@ -79,10 +79,19 @@ def top_contributors(contributions: Column, names: list[str], n: int = 3, exclud
 
 def sentence(contributions: Column, values: Column, names: list[str], n: int = 3, exclude=()) -> Column:
     """The reason sentence of a row: arrays of contributions and of raw values, both in the order of ``names``."""
-    top = top_contributors(contributions, names, n, exclude)
-    clauses = F.array(*[describe(name, values[k].cast("double")) for k, name in enumerate(names)])
-    text = F.concat(F.lit("Flagged: "), F.array_join(F.transform(top, lambda z: F.element_at(clauses, z["i"] + 1)), "; "), F.lit("."))
-    return F.when(F.size(top) == 0, F.lit(NO_REASON)).otherwise(text)
+
+
+    def clause(place: Column) -> Column:
+        """Only the branch of the feature in this place is evaluated."""
+        told = None
+        for k, name in enumerate(names):
+            this = describe(name, values[k].cast("double"))
+            told = F.when(place == k, this) if told is None else told.when(place == k, this)
+        return told
+
+    places = F.transform(top_contributors(contributions, names, n, exclude), lambda z: z["i"])
+    text = lambda p: F.when(F.size(p) == 0, F.lit(NO_REASON)).otherwise(F.concat(F.lit("Flagged: "), F.array_join(F.transform(p, clause), "; "), F.lit(".")))
+    return F.transform(F.array(places), text)[0]
 
 
 def is_grounded(name: str, value: Column, clause: Column) -> Column:

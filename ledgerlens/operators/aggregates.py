@@ -137,3 +137,11 @@ def global_importance(df: DataFrame, contributions: str, names: list[str]) -> Da
     cells = df.select(F.posexplode(contributions).alias("i", "v"))
     by = cells.groupBy("i").agg(F.avg(F.abs("v")).alias("mean_abs_shap"), F.avg("v").alias("mean_shap"))
     return by.select(F.element_at(table, F.col("i") + 1).alias("feature"), "mean_abs_shap", "mean_shap").orderBy(F.desc("mean_abs_shap"), "feature")
+
+
+def describe(df: DataFrame, columns: tuple) -> DataFrame:
+    """statistic and a double per column: count, mean, std (of a sample), min, exact quartiles and max, from one pass."""
+    levels = {"min": F.min, "25%": 0.25, "50%": 0.5, "75%": 0.75, "max": F.max, "count": F.count, "mean": F.avg, "std": F.stddev_samp}
+    value = lambda how, c: F.percentile(c, F.lit(how)) if isinstance(how, float) else how(c)
+    row = df.agg(*[value(how, c).cast("double").alias(f"{k}_{c}") for k, how in levels.items() for c in columns])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("statistic"), *[F.col(f"{k}_{c}").alias(c) for c in columns]) for k in levels])))

@@ -54,10 +54,15 @@ def queue_stats(shown: DataFrame, queue_size: int) -> DataFrame:
     return shown.agg(n.alias("n_shown"), hits.alias("n_positives"), F.try_divide(hits.cast("double"), n.cast("double")).alias("precision"), F.coalesce(F.bool_and("in_alert_queue"), F.lit(False)).alias("population_exact"), F.lit(queue_size).cast("bigint").alias("queue_size"))
 
 
+def draw(seed: int) -> Column:
+    """A transfer's place in a seeded draw, by a digest that any engine has."""
+    return F.md5(F.concat(F.col("txn_id").cast("string"), F.lit(f":{seed}")))
+
+
 def explanation_sample(df: DataFrame, negatives: int, seed: int = 42, label: str = "is_laundering") -> DataFrame:
     """All positives, all alerts and ``negatives`` others by a seeded hash: the same rows every time, whatever the partitions."""
     core = (F.col(label) == 1) | F.col("in_alert_queue")
-    drawn = df.filter(~core).withColumn("_h", F.xxhash64("txn_id", F.lit(seed))).orderBy("_h", "txn_id").limit(negatives).drop("_h")
+    drawn = df.filter(~core).withColumn("_h", draw(seed)).orderBy("_h", "txn_id").limit(negatives).drop("_h")
     return df.filter(core).withColumn("stratum", F.lit("core")).unionByName(drawn.withColumn("stratum", F.lit("negative")))
 
 
@@ -70,7 +75,7 @@ def demo_rows(df: DataFrame, target: int, seed: int = 42, score: str = "score",
     room = target - core.count()
     if room <= 0:
         return kept
-    dealt = materialise(rank_deciles(pool, score).withColumn("_h", F.xxhash64("txn_id", F.lit(seed)).cast("double")), "deciles")
+    dealt = materialise(rank_deciles(pool, score).withColumn("_h", draw(seed)), "deciles")
     quota = room // 10
     groups = [dealt.filter(F.col("decile") == d).orderBy("_h", "txn_id").limit(quota) for d in range(10)]
     filler = groups[0]

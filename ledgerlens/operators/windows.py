@@ -5,8 +5,12 @@ account and moment; every sum enters at its time and leaves again w later, a
 distinct counterparty enters at a transfer and leaves w later or at the next
 transfer with the same counterparty; a running total over each account's
 moments is then the window's value. The cost is linear in moments times
-windows, however wide the windows are, and a very active account is bounded by
-its number of moments (minutes), not of transfers.
+windows, however wide the windows are. An account's moments are cut into days,
+and days' totals carry on from one to the next, so a very active account is
+many tasks.
+
+Amounts are added up as whole numbers, units and hundred-millionths apart: what
+enters a window leaves it again without a trace, however large it is.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql.window import Window
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+#: Amounts are added up in units and this many parts of one.
+PARTS = 100_000_000
 
 
 def micros(timestamp: Column) -> Column:
@@ -55,18 +61,26 @@ def account_windows(txns: DataFrame, measures: list[Measure], amount: str = "amo
     pick = lambda m: (F.col("direction") == m.direction) & (m.only if m.only is not None else F.lit(True))
     summed = [m for m in measures if m.kind != "distinct"]
     distinct = [m for m in measures if m.kind == "distinct"]
-    zero = {m.name: F.lit(0.0 if m.kind == "sum" else 0).cast("double" if m.kind == "sum" else "bigint").alias(m.name) for m in measures}
+    # Column -> measure; a sum has its units and its hundred-millionths.
+    parts = {n: m for m in summed for n in ((f"{m.name}__whole", f"{m.name}__part") if m.kind == "sum" else (m.name,))}
+    parts |= {m.name: m for m in distinct}
+    value = F.col(amount).cast("double")
+    whole = {"__whole": F.floor(value), "__part": F.round((value - F.floor(value)) * PARTS).cast("bigint")}
     values: dict[str, Column] = {}
-    for m in summed:
-        values[m.name] = F.sum(F.when(pick(m), F.col(amount))) if m.kind == "sum" else F.count(F.when(pick(m), 1))
+    for n, m in parts.items():
+        if m.kind == "sum":
+            values[n] = F.sum(F.when(pick(m), whole[n.removeprefix(m.name)]))
+        elif m.kind == "count":
+            values[n] = F.count(F.when(pick(m), 1))
     moments = rows.groupBy("account_key", "_t").agg(*[F.coalesce(v, F.lit(0)).alias(n) for n, v in values.items()], F.lit(True).alias("_probe"))
     # Each width leaves at its own time: an array of (time, sign, width) per moment, exploded once.
     widths = sorted({m.width for m in summed})
     times = F.array(F.struct(F.col("_t").alias("t"), F.lit(0).alias("w")), *[F.struct((F.col("_t") + w).alias("t"), F.lit(i + 1).alias("w")) for i, w in enumerate(widths)])
-    turn = lambda m: F.when(F.col("_x.w") == 0, F.col(m.name)).when(F.col("_x.w") == widths.index(m.width) + 1, -F.col(m.name)).otherwise(F.lit(0))
+    turn = lambda n, m: F.when(F.col("_x.w") == 0, F.col(n)).when(F.col("_x.w") == widths.index(m.width) + 1, -F.col(n)).otherwise(F.lit(0))
+    zero = F.lit(0).cast("bigint")
     deltas = moments.withColumn("_x", F.explode(times)).select(
         "account_key", F.col("_x.t").alias("t"), (F.col("_x.w") == 0).alias("probe"),
-        *[turn(m).alias(m.name) for m in summed], *[zero[m.name] for m in distinct],
+        *[(zero if m.kind == "distinct" else turn(n, m)).alias(n) for n, m in parts.items()],
     )
     if distinct:
         meets = rows.select("account_key", "direction", "counterparty", "_t").distinct()
@@ -77,14 +91,21 @@ def account_windows(txns: DataFrame, measures: list[Measure], amount: str = "amo
         sign = lambda m: F.when(F.col("direction") != m.direction, 0).when(F.col("_x.w") == 0, 1).when(F.col("_x.w") == spans.index(m.width) + 1, -1).otherwise(0).cast("bigint").alias(m.name)
         deltas = deltas.unionByName(
             meets.withColumn("_times", times).select("account_key", "direction", F.explode("_times").alias("_x"))
-            .select("account_key", F.col("_x.t").alias("t"), F.lit(False).alias("probe"), *[sign(m) if m in distinct else zero[m.name] for m in measures])
+            .select("account_key", F.col("_x.t").alias("t"), F.lit(False).alias("probe"), *[sign(m) if m.kind == "distinct" else zero.alias(n) for n, m in parts.items()])
         )
-    points = deltas.groupBy("account_key", "t").agg(F.max("probe").alias("probe"), *[F.sum(m.name).alias(m.name) for m in measures])
-    so_far = Window.partitionBy("account_key").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    totals = points.select("account_key", "t", "probe", *[F.sum(m.name).over(so_far).alias(m.name) for m in measures])
-    clean = [(F.round(m.name, 8) if m.kind == "sum" else F.col(m.name)).alias(m.name) for m in measures]
+    # One shuffle by account and day serves the moments, the running totals inside a day and the days' totals.
+    dealt = deltas.withColumn("_b", F.floor(F.col("t") / DAY)).repartition("account_key", "_b")
+    points = dealt.groupBy("account_key", "_b", "t").agg(F.max("probe").alias("probe"), *[F.sum(n).alias(n) for n in parts])
+    so_far = Window.partitionBy("account_key", "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    inside = points.select("account_key", "_b", "t", "probe", *[F.sum(n).over(so_far).alias(n) for n in parts]).filter("probe")
+    earlier = Window.partitionBy("account_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    days = dealt.groupBy("account_key", "_b").agg(*[F.sum(n).alias(n) for n in parts])
+    carried = days.select(F.col("account_key").alias("_k"), F.col("_b").alias("_d"), *[F.coalesce(F.sum(n).over(earlier), zero).alias(f"_c_{n}") for n in parts])
+    totals = inside.join(carried, F.col("account_key").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_d"))).select("account_key", "t", *[(F.col(n) + F.col(f"_c_{n}")).alias(n) for n in parts])
+    units, rest = (lambda m: F.col(f"{m.name}__whole") + F.floor(F.col(f"{m.name}__part") / PARTS)), (lambda m: F.pmod(f"{m.name}__part", F.lit(PARTS)) / PARTS)
+    clean = [(units(m).cast("double") + rest(m) if m.kind == "sum" else F.col(m.name)).alias(m.name) for m in measures]
     moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("t") / 1_000_000).cast("decimal(18,6)"))
-    return totals.filter("probe").select("account_key", moment.alias("timestamp"), *clean)
+    return totals.select("account_key", moment.alias("timestamp"), *clean)
 
 
 def at_account(txns: DataFrame, windows: DataFrame, key: str, names: dict[str, str], missing=0) -> DataFrame:

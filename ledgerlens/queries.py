@@ -371,9 +371,13 @@ def a12(spark, sf_dir):
     return rounded(A.class_means(usd(spark, sf_dir), ["amount_paid_usd", "score"]))
 
 
-@query("a13_describe")
+_described = ("amount_paid_usd", "score", "is_laundering")
+_statistics = {"count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "25%": "quantile_cont({c}, 0.25)", "50%": "quantile_cont({c}, 0.5)", "75%": "quantile_cont({c}, 0.75)", "max": "max({c})"}
+
+
+@query("a13_describe", f"{USD} " + " UNION ALL ".join(f"SELECT '{k}' AS statistic, " + ", ".join(f"round(CAST({v.format(c=c)} AS DOUBLE), 6) AS {c}" for c in _described) + " FROM usd" for k, v in _statistics.items()))
 def a13(spark, sf_dir):
-    return usd(spark, sf_dir).select("amount_paid_usd", "score", "is_laundering").summary()
+    return rounded(A.describe(usd(spark, sf_dir), _described))
 
 
 @query("a14_positive_weight", f"{SPLIT} SELECT round((count(*) - sum(is_laundering)) / sum(is_laundering), 6) AS weight FROM parts WHERE split = 'train'")
@@ -526,12 +530,22 @@ def t3(spark, sf_dir):
     return M.ranked(transfers(spark, sf_dir)).select("txn_id", "rank").orderBy("rank").limit(50)
 
 
-@query("t4_explanation_sample")
+CORE = "(is_laundering = 1 OR in_alert_queue)"
+DRAW = "md5(CAST(txn_id AS VARCHAR) || ':42')"
+
+
+@query("t4_explanation_sample", f"""{QUEUE} SELECT txn_id, 'core' AS stratum, is_laundering, in_alert_queue FROM queue WHERE {CORE}
+UNION ALL (SELECT txn_id, 'negative', is_laundering, in_alert_queue FROM queue WHERE NOT {CORE} ORDER BY {DRAW}, txn_id LIMIT 300)""")
 def t4(spark, sf_dir):
-    return Q.explanation_sample(queue(spark, sf_dir), 300).select("txn_id", "stratum", "is_laundering", "in_alert_queue")
+    return Q.explanation_sample(scratch.materialise(queue(spark, sf_dir), "queue"), 300).select("txn_id", "stratum", "is_laundering", "in_alert_queue")
 
 
-@query("t5_demo_rows")
+@query("t5_demo_rows", f"""{QUEUE}, room AS (SELECT greatest(2000 - count(*), 0) AS r FROM queue WHERE {CORE}),
+pool AS (SELECT *, least((row_number() OVER (ORDER BY score, txn_id) - 1) * 10 // count(*) OVER (), 9) AS decile, {DRAW} AS h FROM queue WHERE NOT {CORE}),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY decile ORDER BY h, txn_id) AS k FROM pool), filler AS (SELECT * FROM dealt WHERE k <= (SELECT r // 10 FROM room)),
+rest AS (SELECT * FROM dealt WHERE k > (SELECT r // 10 FROM room) ORDER BY h, txn_id LIMIT (SELECT (SELECT r FROM room) - (SELECT count(*) FROM filler)))
+SELECT txn_id, CASE WHEN is_laundering = 1 THEN 'positive' ELSE 'queue' END AS stratum, is_laundering, in_alert_queue FROM queue WHERE {CORE}
+UNION ALL SELECT txn_id, 'filler', is_laundering, in_alert_queue FROM filler UNION ALL SELECT txn_id, 'filler', is_laundering, in_alert_queue FROM rest""")
 def t5(spark, sf_dir):
     return Q.demo_rows(queue(spark, sf_dir), 2000).select("txn_id", "stratum", "is_laundering", "in_alert_queue")
 
@@ -623,7 +637,7 @@ def e4(spark, sf_dir):
 
 @query("e5_recall_per_typology", f"{QUEUE} SELECT pattern_type, count(*) FILTER (WHERE is_laundering = 1) AS positives, count(*) FILTER (WHERE is_laundering = 1 AND in_alert_queue) AS caught, round(count(*) FILTER (WHERE is_laundering = 1 AND in_alert_queue) / count(*) FILTER (WHERE is_laundering = 1), 6) AS recall FROM queue WHERE pattern_type IS NOT NULL GROUP BY 1")
 def e5(spark, sf_dir):
-    return rounded(M.recall_per_typology(queue(spark, sf_dir)))
+    return rounded(M.recall_per_typology(scratch.materialise(queue(spark, sf_dir).select("pattern_type", "is_laundering", "in_alert_queue"), "queue")))
 
 
 @query("e7_headline_without_tail", f"""{USD}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, txn_id) AS rank FROM usd WHERE "timestamp" < TIMESTAMP '2024-01-25'),
@@ -657,13 +671,13 @@ def f1(spark, sf_dir):
 
 @query("f2_f3_psi_table", f"{DRIFT} SELECT bin, {r6('a AS reference_pct', 'b AS current_pct', '(b - a) * ln(b / a) AS psi_contribution')} FROM pct")
 def f3(spark, sf_dir):
-    s = split(spark, sf_dir)
+    s = scratch.materialise(split(spark, sf_dir).select("split", "amount_paid_usd"), "split")
     return rounded(D.psi_table(s.filter("split = 'train'"), s.filter("split = 'test'"), "amount_paid_usd").drop("bin_lower", "bin_upper"))
 
 
 @query("f4_psi", f"{DRIFT}, s AS (SELECT sum((b - a) * ln(b / a)) AS psi FROM pct) SELECT round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS band FROM s")
 def f4(spark, sf_dir):
-    s = split(spark, sf_dir)
+    s = scratch.materialise(split(spark, sf_dir).select("split", "amount_paid_usd"), "split")
     return rounded(D.psi(s.filter("split = 'train'"), s.filter("split = 'test'"), "amount_paid_usd"))
 
 
@@ -671,7 +685,7 @@ def f4(spark, sf_dir):
 pct AS (SELECT greatest(coalesce(r.n, 0) / (SELECT sum(n) FROM r), 1e-6) AS a, greatest(coalesce(c.n, 0) / (SELECT sum(n) FROM c), 1e-6) AS b FROM r FULL JOIN c ON r.x = c.x), s AS (SELECT sum((b - a) * ln(b / a)) AS psi FROM pct)
 SELECT round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS band FROM s""")
 def f5(spark, sf_dir):
-    s = split(spark, sf_dir)
+    s = scratch.materialise(split(spark, sf_dir).select("split", "payment_currency"), "split")
     return rounded(D.category_psi(s.filter("split = 'train' and payment_currency <> 'Yen'"), s.filter("split = 'test'"), "payment_currency"))
 
 
@@ -693,7 +707,7 @@ def csi_features(df: DataFrame) -> DataFrame:
 
 @query("f6_characteristic_stability", _csi_sql(SPLIT, "split = 'train'", "split = 'test'"))
 def f6(spark, sf_dir):
-    s = csi_features(split(spark, sf_dir))
+    s = scratch.materialise(csi_features(split(spark, sf_dir)).select("split", "amount_paid_usd", "score", "hour", "ach"), "split")
     return rounded(D.characteristic_stability(s.filter("split = 'train'"), s.filter("split = 'test'"), ["amount_paid_usd", "score", "hour", "ach"]))
 
 
@@ -707,7 +721,7 @@ grid AS (SELECT size.period, n_rows, a, greatest(coalesce(cur.n, 0) / n_rows, 1e
 s AS (SELECT period, n_rows, sum((b - a) * ln(b / a)) AS psi FROM grid GROUP BY ALL)
 SELECT period, n_rows, CASE WHEN n_rows >= 300 THEN round(psi, 6) END AS psi, CASE WHEN n_rows < 300 THEN 'insufficient_data' WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS band FROM s""")
 def f7(spark, sf_dir):
-    s = split(spark, sf_dir)
+    s = scratch.materialise(split(spark, sf_dir).select("split", "timestamp", "score"), "split")
     return rounded(D.psi_over_time(s.filter("split = 'train'"), s.filter("split <> 'train'"), "score", least=300))
 
 
@@ -887,17 +901,26 @@ def c3(spark, sf_dir):
     return S.read_alerts(spark, path)
 
 
-@query("c4_streaming_windows", f"{LEGS} SELECT txn_id, direction, account_key, count(*) FILTER (WHERE direction = 'out') OVER w AS out_1d_count, count(*) FILTER (WHERE direction = 'in') OVER w AS in_1d_count, count(DISTINCT counterparty) FILTER (WHERE direction = 'out') OVER w AS out_1d_distinct_counterparties, round(coalesce(sum(amount_paid_usd) FILTER (WHERE direction = 'out') OVER w, 0), 6) AS out_1d_amount_usd FROM legs WINDOW w AS {frame_sql(1)}")
+def _stream_sql() -> str:
+    cells = [
+        f"count(*) FILTER (WHERE direction = '{way}') OVER w{d} AS {way}_{d}d_count, round(coalesce(sum(amount_paid_usd) FILTER (WHERE direction = '{way}') OVER w{d}, 0), 6) AS {way}_{d}d_amount_usd, "
+        f"count(DISTINCT counterparty) FILTER (WHERE direction = '{way}') OVER w{d} AS {way}_{d}d_distinct_counterparties"
+        for d in (1, 7, 30) for way in ("out", "in")
+    ]
+    return f"{LEGS} SELECT txn_id, direction, account_key, {', '.join(cells)} FROM legs WINDOW " + ", ".join(f"w{d} AS {frame_sql(d)}" for d in (1, 7, 30))
+
+
+@query("c4_streaming_windows", _stream_sql())
 def c4(spark, sf_dir):
-    """The streaming scorer fed with one trigger of all transfers; equal to the batch windows."""
+    """The streaming scorer with all its windows, fed with one trigger of all transfers; equal to the batch windows."""
     from .streaming.scorer import streaming_windows
 
     path, out, marks = (scratch.new_folder(spark, f"stream-{k}") for k in ("in", "out", "marks"))
     usd(spark, sf_dir).write.parquet(path)
     stream = spark.readStream.schema(usd(spark, sf_dir).schema).parquet(path)
-    running = streaming_windows(stream, days=(1,)).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    running = streaming_windows(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
     running.awaitTermination()
-    return rounded(spark.read.parquet(out).select("txn_id", "direction", "account_key", "out_1d_count", "in_1d_count", "out_1d_distinct_counterparties", "out_1d_amount_usd"))
+    return rounded(spark.read.parquet(out).drop("timestamp"))
 
 
 assert set(PATTERN_TYPES) and DAY

@@ -118,3 +118,25 @@ def test_asof_join_over_blocks(spark):
     right = spark.createDataFrame([("k", START + timedelta(days=1), 1), ("k", START + timedelta(days=1), 2), ("k", START + timedelta(days=41), 3)], "k string, t timestamp_ntz, v int")
     assert [r["asof_v"] for r in asof_join(left, right, "k", "t", ["v"]).orderBy("id").collect()] == [None, 2, 2, 3, None]
     assert HOUR * 24 == DAY
+
+
+def test_sums_forget_large_amounts_and_busy_accounts(spark):
+    """Amounts from a cent to 1e13 in one account: every window equals a sum over decimals to the cent, before, in and after them, over many days."""
+    import random
+    from datetime import datetime, timedelta
+    from decimal import Decimal
+
+    rng = random.Random(6)
+    start, rows = datetime(2024, 1, 1), []
+    for i in range(400):
+        cents = rng.choice([1, 37, 5, 99_999, 10**15]) + rng.randrange(100)
+        rows.append((i, start + timedelta(minutes=rng.randrange(20_000)), "A", "BCD"[i % 3], cents / 100))
+    txns = spark.createDataFrame(rows, "txn_id long, timestamp timestamp_ntz, from_account_key string, to_account_key string, amount_paid_usd double")
+    got = account_windows(txns, [Measure("day", "sum", "out", DAY), Measure("week", "sum", "out", 7 * DAY), Measure("n", "count", "out", 7 * DAY), Measure("who", "distinct", "out", DAY)]).filter("account_key = 'A'").collect()
+    assert len(got) == len({r[1] for r in rows})
+    for r in got:
+        inside = {d: [x for x in rows if r["timestamp"] - timedelta(days=d) < x[1] <= r["timestamp"]] for d in (1, 7)}
+        for d, name in ((1, "day"), (7, "week")):
+            want = sum(round(Decimal(x[4]), 2) for x in inside[d])
+            assert round(Decimal(r[name]), 2) == want or abs(Decimal(r[name]) - want) <= Decimal(abs(r[name])) * Decimal(2) ** -52
+        assert r["n"] == len(inside[7]) and r["who"] == len({x[3] for x in inside[1]})
