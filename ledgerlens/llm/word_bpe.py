@@ -18,10 +18,12 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, shape, small_batches, width
+from .shared import materialise, portions, shape, width
 
 #: Most words in one packed run of positions, unless a single document has more.
 RUN_WORDS = 32_000
+#: Bytes of text for which one bucket of words is made, and the most buckets there are.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 30, 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,7 +77,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int, schem
                 ids, counts, found = runs.pop()
                 yield row(1, 0, pack(pack_codes(code[found])), counts, pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), ids))
 
-        for batch in batches:
+        for batch in portions(batches):
             ids = batch.column(0)
             none = pa.array([[]], pa.list_(ids.type))
             start, words, counts = 0, [], []
@@ -104,12 +106,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     each give a row, in no fixed order. An empty table gives an empty result.
     A document is never split over blocks, whatever its length. Other columns
     are left out.
+
+    Buckets follow the bytes of text and tasks the number of blocks, so a task
+    reads about as much whatever the table's size.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     table = spark.sparkContext.broadcast(read_ranks(ranks))  # the vocabulary file, of fixed size
-    buckets = max(16, min(width(spark), 1024))
     line = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    size = line.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = max(16, min(width(spark), MOST_BUCKETS), min(size // BUCKET_BYTES, MOST_BUCKETS))
     schema = shape(line.select(F.lit("").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(b"").alias("payload"), F.array(F.lit(0).cast("long")).alias("counts"), F.array("_id").alias("ids")))
     blocks = materialise(_blocks(line, pattern, buckets, block_bytes, schema), "blocks")
 
@@ -124,7 +129,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})._core_bpe.encode_single_piece
         codes, ids = Codes(), IdTable()
-        for batch in batches:
+        for batch in portions(batches, 3):
             out = []
             for raw in batch.column(3).to_pylist():
                 data = unpack(raw)
@@ -182,29 +187,45 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(found)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(5)[at].values, texts], names=result.names)
 
-    home = met.unionByName(blocks.filter("kind = 1")).repartition(width(spark), "block").sortWithinPartitions("block", "kind", "bucket")
+    tasks = max(width(spark), blocks.select("block").distinct().count())
+    home = met.unionByName(blocks.filter("kind = 1")).repartition(tasks, "block").sortWithinPartitions("block", "kind", "bucket")
     return home.mapInArrow(reassemble, result).withColumnRenamed("_id", id_col)
 
 
 def decode(tokens: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes of its ids joined from the token-byte table in the column ``out`` (null ids: null).
 
-    The table has one entry per token of the vocabulary file, so the broadcast
-    is of fixed size. An id that the table lacks raises an error.
+    A broadcast join by array position: the table is every token's place in one
+    run of bytes, has one entry per token of the vocabulary file, and gives all
+    bytes of a batch's ids in one gather. An id that the table lacks raises an
+    error.
     """
-    small_batches(tokens.sparkSession)
-    table = tokens.sparkSession.sparkContext.broadcast({i: b for b, i in read_ranks(ranks).items()})
+    import numpy as np
+
+    known = sorted((i, b) for b, i in read_ranks(ranks).items())
+    lengths = np.full(known[-1][0] + 1 if known else 0, -1, np.int64)
+    lengths[[i for i, _ in known]] = [len(b) for _, b in known]
+    starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+    table = tokens.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(b for _, b in known), np.uint8), starts, lengths))
     rest = [c for c in tokens.columns if c.lower() != out.lower()]
     at = rest.index(ids_col)
     schema = shape(tokens.select(*rest, F.lit(b"").alias(out)))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        lookup = table.value.__getitem__
-        for batch in batches:
-            texts = [None if raw is None else b"".join(map(lookup, np.frombuffer(raw, "<u4").tolist())) for raw in batch.column(at).to_pylist()]
+        from .pretokens import ragged
+
+        data, starts, lengths = table.value
+        for batch in portions(batches, at):
+            lists = batch.column(at).to_pylist()
+            ids = np.frombuffer(b"".join(x for x in lists if x), "<u4").astype(np.int64)
+            if len(ids) and (int(ids.max()) >= len(lengths) or (lengths[ids] < 0).any()):
+                raise ValueError("an id that the vocabulary lacks")
+            per_id = lengths[ids]
+            found = data[ragged(starts[ids], per_id)].tobytes()
+            ends = np.concatenate([[0], np.cumsum(per_id)])[np.cumsum([len(x or b"") // 4 for x in lists])]
+            texts = [None if x is None else found[lo:hi] for x, lo, hi in zip(lists, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return tokens.select(*rest).mapInArrow(run, schema)
