@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import steps, width
+from .shared import steps
 
 #: A section ends after a blank line, a paragraph after a line end.
 SECTION, PARAGRAPH = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)"
@@ -43,7 +43,7 @@ _start = rf"[{_rows(0x40, 0x100, 32)}]|(?=[\x{{100}}-\x{{10FFFF}}])[{_rows(0x100
 #: A word starts a piece if its first code point is in the first eighth of its row of the code tables. One pattern for all pieces of a paragraph, which Spark keeps compiled.
 PIECE = rf"{_word}(?:(?!{_start}){_word}){{0,{MOST_WORDS - 1}}}+|\s{{1,{LONGEST}}}+"
 #: Bytes of text that one task takes, about.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 8 << 20
 
 #: Most groups of neighbours whose first keys (eight bytes each) are broadcast.
 BROADCAST_GROUPS = 200_000
@@ -152,7 +152,7 @@ def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str],
         .withColumns(derived).groupBy("_key").agg(F.min(F.struct(order, *[c for c in carried if c != order])).alias("_v"))
         .withColumnRenamed("_key", "_head")
     )
-    tasks = max(min(width(docs.sparkSession), groups), -(-(size or 0) // TASK_BYTES))
+    tasks = max(1, min(groups, -(-(size or 0) // TASK_BYTES)))
     rows = docs.withColumns({"_key": key, "_block": block}).repartition(tasks, "_block")
     w = Window.partitionBy("_block").orderBy("_key", order)
     early, late = ([c for c in carried if (c in derived) == told] for told in (False, True))

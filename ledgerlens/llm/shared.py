@@ -54,11 +54,3 @@ def drop_rows(rows: DataFrame, gone: DataFrame, key: str = "_row", most: int = 5
     gone = materialise(gone.select(F.col(key).alias("_gone")), "gone")
     few = gone.count() <= most
     return rows.join(F.broadcast(gone) if few else gone, rows[key].eqNullSafe(gone["_gone"]), "left_anti")
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow and Parquet batches of the session short; being replaced by ``portions``."""
-    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
-        now = int(spark.conf.get(key))
-        if now <= 0 or now > rows:
-            spark.conf.set(key, str(rows))
