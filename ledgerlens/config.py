@@ -29,5 +29,6 @@ def load_config(path: str) -> dict:
     """A YAML file as nested dicts and lists."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
+    from .sources.scratch import read_text
+
+    return yaml.safe_load(read_text(path))

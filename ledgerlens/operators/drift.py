@@ -93,6 +93,12 @@ def characteristic_stability(reference: DataFrame, current: DataFrame, features:
     return csi.join(F.broadcast(names), "i").select("feature", "csi", band(F.col("csi")).alias("band"), "method", "n_bins_effective", "reference_mean", "current_mean").orderBy(F.desc("csi"), "feature")
 
 
+def graph_share(stability: DataFrame, top: int = 10) -> DataFrame:
+    """Of the ``top`` most drifted features of a characteristic-stability table, how many there are and how many come from the graph."""
+    first = stability.orderBy(F.desc("csi"), "feature").limit(top)
+    return first.agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.contains("feature", F.lit("_graph_"))).alias("n_graph"))
+
+
 def psi_over_time(reference: DataFrame, current: DataFrame, column: str, time: str = "timestamp", period: str = "yyyy-MM-dd", bins: int = C.PSI_BINS, epsilon: float = C.PSI_EPSILON, least: int = C.MIN_SLICE) -> DataFrame:
     """period, n_rows, psi and band of every period against the reference; thin periods stay, with a null psi and the band insufficient_data."""
     inner = bin_edges(reference, column, bins)

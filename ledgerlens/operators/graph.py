@@ -33,44 +33,28 @@ def on_short_cycles(edges: DataFrame, length: int = C.CYCLE_LENGTH) -> DataFrame
     """Distinct (as_of, account_key) on a directed cycle of at most ``length`` edges; self-loops are cycles of one.
 
     Only accounts with edges both ways can be on a longer cycle, so all others
-    leave first. A path grows one edge at a time, as distinct pairs of its
-    ends where that is enough: for lengths up to three the inner accounts need
-    not be kept, since a repeated one already closes a shorter cycle.
+    leave first. A closed walk that leaves an account and comes back holds a
+    cycle through it that is no longer, so distinct pairs of a walk's ends are
+    enough and the accounts between need not be kept; a walk of n edges meets in the middle.
     """
-    loops = edges.filter("src = dst").select("as_of", F.col("src").alias("account_key"))
+    found = edges.filter("src = dst").select("as_of", F.col("src").alias("account_key"))
+    if length < 2:
+        return found.distinct()
     proper = edges.filter("src != dst")
     both = proper.select("as_of", F.col("src").alias("n")).distinct().join(proper.select("as_of", F.col("dst").alias("n")).distinct(), ["as_of", "n"])
     core = proper.join(both.withColumnRenamed("n", "src"), ["as_of", "src"], "left_semi").join(both.withColumnRenamed("n", "dst"), ["as_of", "dst"], "left_semi").select("as_of", "src", "dst")
-    if length >= 2:
-        core = materialise(core, "graph-core")  # every length reads it again
-    found = loops
-    if length >= 2:
-        back = core.select("as_of", F.col("src").alias("dst"), F.col("dst").alias("src"))
-        found = found.unionByName(core.join(back, ["as_of", "src", "dst"], "left_semi").select("as_of", F.col("src").alias("account_key")))
-    if length >= 3:
-        step = core.select("as_of", F.col("src").alias("mid"), F.col("dst").alias("end"))
-        two = core.withColumnRenamed("dst", "mid").join(step, ["as_of", "mid"]).filter("src != end").select("as_of", "src", "end").distinct()
-        closing = core.select("as_of", F.col("src").alias("end"), F.col("dst").alias("src"))
-        found = found.unionByName(two.join(closing, ["as_of", "src", "end"], "left_semi").select("as_of", F.col("src").alias("account_key")))
-    paths = None
-    for size in range(4, length + 1):
-        if paths is None:
-            paths = core.select("as_of", F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
-            for _ in range(2):
-                paths = _longer(paths, core)
-        paths = _longer(paths, core) if size > 4 else paths
-        closing = core.select("as_of", F.col("src").alias("end"), F.col("dst").alias("start"))
-        found = found.unionByName(paths.join(closing, ["as_of", "start", "end"], "left_semi").select("as_of", F.col("start").alias("account_key")))
+    walks = {1: materialise(core, "graph-core")}  # every length reads it again
+    step = walks[1].select("as_of", F.col("src").alias("mid"), F.col("dst").alias("end"))
+    for n in range(2, length + 1):
+        ahead, back = n - n // 2, n // 2
+        if ahead not in walks:
+            grown = walks[back].withColumnRenamed("dst", "mid").join(step, ["as_of", "mid"]).filter("src != end").select("as_of", "src", F.col("end").alias("dst")).distinct()
+            walks[ahead] = materialise(grown, f"walks-{ahead}") if length > n else grown
+        closing = walks[back].select("as_of", F.col("src").alias("dst"), F.col("dst").alias("src"))
+        found = found.unionByName(walks[ahead].join(closing, ["as_of", "src", "dst"], "left_semi").select("as_of", F.col("src").alias("account_key")))
     return found.distinct()
 
 
-def _longer(paths: DataFrame, core: DataFrame) -> DataFrame:
-    """Paths with one more edge to an account that is not on them yet."""
-    step = core.select("as_of", F.col("src").alias("end"), F.col("dst").alias("next"))
-    grown = paths.join(step, ["as_of", "end"]).filter(~F.array_contains("path", F.col("next")))
-    return grown.select("as_of", "start", F.col("next").alias("end"), F.concat("path", F.array("next")).alias("path"))
-
-
 def snapshot_features(edges: DataFrame, length: int = C.CYCLE_LENGTH) -> DataFrame:
     """as_of, account_key and the five graph features of every account that has a visible edge."""
     cycles = on_short_cycles(edges, length).withColumn("graph_in_cycle", F.lit(True))

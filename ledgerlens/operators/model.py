@@ -6,13 +6,13 @@ for the isolation forest's samples, at most ``rows_per_tree`` rows per tree.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from math import factorial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.transfers import read_json, write_json
 from .metrics import positive_weight
 
 
@@ -218,15 +218,13 @@ def base_value(explained: DataFrame, tolerance: float = 1e-3) -> float:
 def save_model(model, names: list[str], path: str, metadata_path: str, **metadata) -> None:
     """The model in Spark's format, and a JSON file with the features' order."""
     model.write().overwrite().save(path)
-    with open(metadata_path, "w", encoding="utf-8") as f:
-        json.dump({"feature_names": list(names), **metadata}, f, indent=2, default=str)
+    write_json({**metadata, "feature_names": list(names)}, metadata_path)
 
 
 def load_model(path: str, metadata_path: str):
     from pyspark.ml.classification import GBTClassificationModel
 
-    with open(metadata_path, encoding="utf-8") as f:
-        return GBTClassificationModel.load(path), json.load(f)
+    return GBTClassificationModel.load(path), read_json(metadata_path)
 
 
 def feature_gain(model, names: list[str], top: int = 15) -> list[tuple[str, float]]:

@@ -36,6 +36,10 @@ RANKED = f"""{USD}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC,
 QUEUE = f"""{RANKED}, cum AS (SELECT rank, sum(is_laundering) OVER (ORDER BY rank) AS hits, sum(is_laundering) OVER () AS total FROM ranked),
 queue AS (SELECT *, rank <= (SELECT min(rank) FROM cum WHERE hits >= 0.75 * total) AS in_alert_queue FROM ranked)"""
 
+#: Scores with their positives and rows, and both added up from the highest score.
+GROUPS = f"""{TRANSFERS_SQL}, g AS (SELECT score, sum(is_laundering) AS pos, count(*) AS n FROM txns GROUP BY score),
+cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS k, sum(pos) OVER () AS t, sum(n) OVER () AS m FROM g)"""
+
 
 def query(name: str, sql: str | None = None):
     def put(f):
@@ -155,7 +159,25 @@ def s9(spark, sf_dir):
     return S.read_alerts(spark, path)
 
 
-@query("s11_json_records")
+@query("s10_json_document", f"{TRANSFERS_SQL} SELECT payment_format, count(*) AS n_rows, strftime(min(\"timestamp\"), '%Y-%m-%d') AS first_day FROM txns GROUP BY 1")
+def s10(spark, sf_dir):
+    """A metrics document written and read again: whole numbers stay whole, days become text."""
+    path = scratch.new_folder(spark, "metrics") + ".json"
+    per_format = transfers(spark, sf_dir).groupBy("payment_format").agg(F.count(F.lit(1)).alias("n_rows"), F.to_date(F.min("timestamp")).alias("first_day"))
+    S.write_json({"per_format": S.records(per_format)}, path)
+    return S.frame(spark, S.read_json(path), "per_format")
+
+
+@query("s1_config", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in C.FX_RATES.items()) + ") AS r(currency, rate)")
+def s1(spark, sf_dir):
+    """The rates from a YAML file."""
+    path = scratch.new_folder(spark, "config") + ".yaml"
+    scratch.write_text("fx_rates:\n" + "".join(f"  {k}: {v}\n" for k, v in C.FX_RATES.items()), path)
+    return spark.createDataFrame(list(C.load_config(path)["fx_rates"].items()), "currency string, rate double")
+
+
+@query("s11_json_records", f"""{QUEUE}, t AS (SELECT pattern_type, count(*) FILTER (WHERE is_laundering = 1) AS positives, count(*) FILTER (WHERE is_laundering = 1 AND in_alert_queue) AS caught FROM queue WHERE pattern_type IS NOT NULL GROUP BY 1)
+SELECT CAST(to_json({{'pattern_type': pattern_type, 'positives': positives, 'caught': caught, 'recall': caught / nullif(positives, 0)}}) AS VARCHAR) AS json FROM t""")
 def s11(spark, sf_dir):
     return S.json_rows(M.recall_per_typology(queue(spark, sf_dir)))
 
@@ -271,6 +293,16 @@ def p12(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in _names], "name string").select("name", P.prettify(F.col("name")).alias("pretty"), P.is_windowed(F.col("name")).alias("windowed"))
 
 
+@query("p13_table_features", f"SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(_names))}) AS v(place, name)")
+def p13(spark, sf_dir):
+    """The model's features, in order, from a stored review table's columns."""
+    path = scratch.new_folder(spark, "review")
+    cells = [F.lit(0.0).cast("float").alias(f"{p}_{n}") for p in ("feat", "shap") for n in _names]
+    S.write_artifact(transfers(spark, sf_dir).agg(F.max("txn_id").alias("rank")).select("rank", *cells), path)
+    found = S.feature_names(S.read_alerts(spark, path).columns)
+    return spark.createDataFrame(list(enumerate(found)), "place int, name string")
+
+
 @query("p15_amount_histogram", f"{USD} SELECT is_laundering, CAST(floor(log10(amount_paid_usd) / 0.25) AS INTEGER) AS bin, count(*) AS n_rows FROM usd WHERE amount_paid_usd > 0 GROUP BY ALL")
 def p15(spark, sf_dir):
     return A.amount_histogram(usd(spark, sf_dir))
@@ -550,7 +582,11 @@ def t5(spark, sf_dir):
     return Q.demo_rows(queue(spark, sf_dir), 2000).select("txn_id", "stratum", "is_laundering", "in_alert_queue")
 
 
-@query("t6_thin_pr_curve")
+@query("t6_thin_pr_curve", f"""{GROUPS}, curve AS (SELECT score AS threshold, tp / k AS precision, tp / t AS recall FROM cum UNION ALL SELECT NULL, 1.0, 0.0),
+ends AS (SELECT count(*) AS c, min(recall) AS lo, max(recall) AS hi FROM curve),
+put AS (SELECT curve.*, CASE WHEN c <= 300 THEN coalesce(CAST(threshold AS VARCHAR), 'end') WHEN recall = hi THEN '300' ELSE CAST(coalesce(CAST(floor((recall - lo) / nullif(hi - lo, 0) * 298) AS BIGINT), 0) AS VARCHAR) END AS cell FROM curve, ends),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY recall, threshold DESC NULLS FIRST) AS place FROM put)
+SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM placed WHERE place = 1""")
 def t6(spark, sf_dir):
     return rounded(M.thin_curve(M.pr_curve(transfers(spark, sf_dir))))
 
@@ -587,6 +623,12 @@ def g3(spark, sf_dir):
     return G.on_short_cycles(G.visible_edges(transfers(spark, sf_dir)))
 
 
+@query("g3_cycles_of_four", f"""{CYCLES}, two AS (SELECT DISTINCT x.as_of, x.src, x.dst AS mid, y.dst FROM edges x JOIN edges y ON x.as_of = y.as_of AND x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst)
+SELECT as_of, account_key FROM cycles UNION SELECT a.as_of, a.src FROM two a JOIN two b ON a.as_of = b.as_of AND a.dst = b.src AND b.dst = a.src AND a.mid <> b.mid""")
+def g3_four(spark, sf_dir):
+    return G.on_short_cycles(G.visible_edges(transfers(spark, sf_dir)), 4)
+
+
 @query("g4_j5_graph_features", f"{SNAPSHOT}, {GRAPH} SELECT * FROM graph")
 def g4(spark, sf_dir):
     return rounded(G.daily_graph_features(transfers(spark, sf_dir)))
@@ -599,8 +641,6 @@ def c2(spark, sf_dir):
 
 # --- metrics -------------------------------------------------------------------------------------------------------
 
-GROUPS = f"""{TRANSFERS_SQL}, g AS (SELECT score, sum(is_laundering) AS pos, count(*) AS n FROM txns GROUP BY score),
-cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS k, sum(pos) OVER () AS t, sum(n) OVER () AS m FROM g)"""
 
 
 @query("e1_ap_auc", f"{GROUPS} SELECT round(sum(pos / t * tp / k), 6) AS average_precision, round(sum(pos * (((m - k) - (t - tp)) + (n - pos) / 2)) / max(t * (m - t)), 6) AS roc_auc FROM cum")
@@ -689,8 +729,8 @@ def f5(spark, sf_dir):
     return rounded(D.category_psi(s.filter("split = 'train' and payment_currency <> 'Yen'"), s.filter("split = 'test'"), "payment_currency"))
 
 
-def _csi_sql(frame: str, ref: str, cur: str) -> str:
-    features = {"amount_paid_usd": "amount_paid_usd", "score": "score", "hour": "hour(\"timestamp\")", "ach": "CASE WHEN payment_format = 'ACH' THEN 1 ELSE 0 END"}
+def _csi_sql(frame: str, ref: str, cur: str, more: tuple[str, ...] = ()) -> str:
+    features = {"amount_paid_usd": "amount_paid_usd", "score": "score", "hour": "hour(\"timestamp\")", "ach": "CASE WHEN payment_format = 'ACH' THEN 1 ELSE 0 END"} | {m: m for m in more}
     rows = " UNION ALL ".join(f"SELECT '{k}' AS feature, CAST({v} AS DOUBLE) AS v, {ref} AS is_ref, {cur} AS is_cur FROM parts" for k, v in features.items())
     return f"""{frame}, cells AS ({rows}), stats AS (SELECT feature, count(DISTINCT v) AS n, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS u FROM cells WHERE is_ref GROUP BY 1),
 binned AS (SELECT c.feature, is_ref, is_cur, v, CASE WHEN n <= 10 THEN v ELSE len(list_filter(u[2:len(u) - 1], lambda y: v >= y)) END AS bin FROM cells c JOIN stats s ON c.feature = s.feature),
@@ -732,6 +772,21 @@ def f8(spark, sf_dir):
     return rounded(D.characteristic_stability(day("2024-01-05"), day("2024-01-06"), ["amount_paid_usd", "score", "hour", "ach"]))
 
 
+GRAPH_FEATURES = tuple(f"{r}_{f}" for r in ("sender", "receiver") for f in G.FEATURES)
+
+
+@query("f8_graph_share", f"""{SNAPSHOT}, {GRAPH}, {USD.split(TRANSFERS_SQL + ', ')[1]}, parts AS (SELECT * FROM usd JOIN graph USING (txn_id)), csi AS (
+{_csi_sql("", "CAST(timestamp AS DATE) = DATE '2024-01-08'", "CAST(timestamp AS DATE) = DATE '2024-01-09'", GRAPH_FEATURES).lstrip(", ").replace("cells AS (", "WITH cells AS (", 1)})
+SELECT count(*) AS n_features, count(*) FILTER (WHERE contains(feature, '_graph_')) AS n_graph FROM (SELECT feature FROM csi ORDER BY csi DESC, feature LIMIT 10)""")
+def f8_graph(spark, sf_dir):
+    """How many of the ten features that drift most over the eviction day come from the graph."""
+    t = csi_features(usd(spark, sf_dir)).join(G.daily_graph_features(transfers(spark, sf_dir)), "txn_id")
+    names = ["amount_paid_usd", "score", "hour", "ach", *GRAPH_FEATURES]
+    days = scratch.materialise(t.select(F.to_date("timestamp").alias("day"), *names), "two-days")
+    day = lambda d: days.filter(F.col("day") == F.lit(d).cast("date"))
+    return D.graph_share(rounded(D.characteristic_stability(day("2024-01-08"), day("2024-01-09"), names)))
+
+
 @query("f9_first_eviction_day", f"{TRANSFERS_SQL} SELECT CAST(min(CAST(\"timestamp\" AS DATE)) + 8 AS DATE) AS day FROM txns")
 def f9(spark, sf_dir):
     return transfers(spark, sf_dir).agg(D.first_eviction_day(F.min(F.to_date("timestamp"))).alias("day"))
@@ -874,6 +929,18 @@ def m4(spark, sf_dir):
     return rounded(rows[0].unionByName(rows[1]))
 
 
+@query("s15_saved_model", f"{SPLIT} SELECT txn_id, true AS same_score, true AS same_features FROM parts WHERE split = 'test'")
+def s15(spark, sf_dir):
+    """Test rows scored by a model and by the same model saved and loaded, with its features' order from the sidecar."""
+    x, names, model = _boosted(spark, sf_dir, rounds=3)
+    path = scratch.new_folder(spark, "model")
+    ML.save_model(model, names, path, path + ".json", rounds=3)
+    again, meta = ML.load_model(path, path + ".json")
+    test = x.filter("split = 'test'")
+    both = ML.scored(model, test, names).select("txn_id", F.col("score").alias("a")).join(ML.scored(again, test, meta["feature_names"]).select("txn_id", F.col("score").alias("b")), "txn_id")
+    return both.select("txn_id", F.col("a").eqNullSafe(F.col("b")).alias("same_score"), F.lit(meta["feature_names"] == names).alias("same_features"))
+
+
 @query("m5_feature_gain")
 def m5(spark, sf_dir):
     _, names, model = _boosted(spark, sf_dir, rounds=5)

@@ -32,6 +32,33 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/ledgerlens/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def _on_file_system(path: str):
+    """The session's Hadoop file system for ``path``, and the path in it."""
+    spark = SparkSession.builder.getOrCreate()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(text: str, path: str) -> None:
+    """A small UTF-8 file, written where Spark itself would read the path; an old one is replaced."""
+    files, at = _on_file_system(path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str:
+    """A small UTF-8 file from where Spark itself would read the path."""
+    files, at = _on_file_system(path)
+    source = files.open(at)
+    try:
+        return SparkSession.builder.getOrCreate().sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 

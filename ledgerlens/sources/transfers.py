@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import read_text, write_text
+
 #: Header fields of the raw files, and the names used here.
 TRANSACTION_HEADER = ["Timestamp", "From Bank", "Account", "To Bank", "Account", "Amount Received", "Receiving Currency", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering"]
 TRANSACTION_FIELDS = ["timestamp", "from_bank", "from_account", "to_bank", "to_account", "amount_received", "receiving_currency", "amount_paid", "payment_currency", "payment_format", "is_laundering"]
@@ -129,11 +130,11 @@ def write_artifact(df: DataFrame, path: str, budget_mb: float = 20.0) -> float:
 
 def write_json(document: dict, path: str) -> None:
     """A metrics document with indent 2; values JSON has no form for become text."""
-    Path(path).write_text(json.dumps(document, indent=2, default=str), encoding="utf-8")
+    write_text(json.dumps(document, indent=2, default=str), path)
 
 
 def read_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(read_text(path))
 
 
 def records(df: DataFrame) -> list[dict]:

@@ -175,3 +175,25 @@ def test_matrix_has_all_formats(spark):
     assert x.filter("txn_id = 2").select(*[f"`{c}`" for c in x.columns if c.startswith("payment_format_")]).first() == tuple([0.0] * 7)
     with pytest.raises(ValueError, match="missing"):
         M.align_features(x, ["nope"])
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 6])
+def test_short_cycles_like_brute_force(spark, length):
+    rng = random.Random(length)
+    edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(24)}
+    ahead = {a: [y for x, y in edges if x == a] for a in range(14)}
+
+    def back_home(start, at, seen):
+        return any(n == start or n not in seen and len(seen) < length and back_home(start, n, seen | {n}) for n in ahead[at])
+
+    want = {a for a in range(14) if back_home(a, a, {a})}
+    df = spark.createDataFrame([(1, str(a), str(b)) for a, b in edges], "as_of int, src string, dst string")
+    assert {int(r["account_key"]) for r in G.on_short_cycles(df, length).collect()} == want
+
+
+def test_graph_share_counts_the_first(spark):
+    rows = [("sender_graph_in_degree", 0.5), ("score", 0.4), ("hour", 0.3), ("receiver_graph_in_cycle", 0.2)]
+    table = spark.createDataFrame(rows, "feature string, csi double")
+    assert tuple(D.graph_share(table, 3).first()) == (3, 1)
+    assert tuple(D.graph_share(table).first()) == (4, 2)
+    assert tuple(D.graph_share(table.filter("csi > 1")).first()) == (0, 0)

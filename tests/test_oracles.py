@@ -44,6 +44,6 @@ def test_same_as_duckdb(spark, duck, name):
     assert cells(got, sorted(got.columns)) == cells(want, sorted(got.columns))
 
 
-@pytest.mark.parametrize("name", ["m2_isolation_forest", "t4_explanation_sample", "t5_demo_rows", "s11_json_records", "a13_describe", "c3_review_artifact"])
+@pytest.mark.parametrize("name", ["m2_isolation_forest", "c3_review_artifact"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

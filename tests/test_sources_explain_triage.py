@@ -56,6 +56,8 @@ def test_records_and_json(spark, tmp_path):
     assert sorted(r["json"] for r in S.json_rows(df).collect()) == ['{"n":1,"x":null}', '{"n":2,"x":0.5}']
     S.write_json({"a": [{"n": 1}], "when": datetime(2024, 1, 1)}, str(tmp_path / "m.json"))
     assert S.frame(spark, S.read_json(str(tmp_path / "m.json")), "a").first()["n"] == 1
+    S.write_json({"name": "Zoë"}, f"file://{tmp_path}/m.json")  # a path with a scheme, an older file in its place
+    assert S.read_json(str(tmp_path / "m.json")) == {"name": "Zoë"}
 
 
 def clause(spark, name, value):
