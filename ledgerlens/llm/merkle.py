@@ -115,14 +115,15 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "finger
     return docs.withColumn(out, fingerprint(F.col(text_col)))
 
 
-def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str], derived: dict[str, Column], group_rows: int = 2_000) -> DataFrame:
+def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str], derived: dict[str, Column], group_rows: int = 250) -> DataFrame:
     """``docs`` and the ``derived`` columns, with ``next_<c>`` of the next row by (``id_col``, ``order``) for each carried column; the first row follows the last.
 
     The id range is cut into groups of about ``group_rows`` neighbours, by
     quantiles and then evenly within each, so no window holds the table; only
     each group's last row looks up the first row of the group after it. Rows
     are shuffled once, before ``derived`` columns are computed, into as many
-    tasks as their bytes of ``order`` call for.
+    tasks as their bytes of ``order`` call for; groups are much smaller than
+    tasks, so those that hashing brings together in one weigh about the same.
     """
     low = -(1 << 63)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
