@@ -8,7 +8,8 @@ back to the blocks, join the positions there and give each text's ids in order.
 
 Words travel packed, one row per block and bucket, as do positions, so the
 shuffle is a fraction of the text and a very frequent word is one entry per
-block, however often it occurs. A task holds one block's words or one bucket's.
+block, however often it occurs. A task holds one block's words or one bucket's:
+both are dealt by number, not by hash, so none meets another in a task.
 """
 
 from __future__ import annotations
@@ -107,7 +108,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     A document is never split over blocks, whatever its length. Other columns
     are left out.
 
-    Buckets follow the bytes of text and tasks the number of blocks, so a task
+    Buckets follow the bytes of text and tasks the number of blocks, one block
+    to a task unless partitions hold very unequal numbers of blocks, so a task
     reads about as much whatever the table's size.
     """
     spark = docs.sparkSession
@@ -143,7 +145,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 out.append(pack(pack_ints(counts) + pack_ints(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], names=batch.schema.names)
 
-    met = blocks.filter("kind = 0").repartition(buckets, "bucket").mapInArrow(words, schema)
+    met = blocks.filter("kind = 0").repartitionById(buckets, F.col("bucket")).mapInArrow(words, schema)
     result = shape(line.select("_id", F.lit(b"").alias("ids")))
 
     def reassemble(batches):
@@ -187,8 +189,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(found)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(5)[at].values, texts], names=result.names)
 
-    tasks = max(width(spark), blocks.select("block").distinct().count())
-    home = met.unionByName(blocks.filter("kind = 1")).repartition(tasks, "block").sortWithinPartitions("block", "kind", "bucket")
+    # A block's name is the partition that made it and its number there; the numbers run over all partitions in turn.
+    part, number = (F.split_part("block", F.lit("-"), F.lit(k)).cast("long") for k in (1, 2))
+    many, parts, numbers = blocks.select("block").distinct().agg(F.count(F.lit(1)), F.max(part) + 1, F.max(number) + 1).first()
+    tasks = max(1, min(2 * many, (parts or 0) * (numbers or 0)))
+    turn = (number * (parts or 0) + part) % tasks
+    home = met.unionByName(blocks.filter("kind = 1")).repartitionById(tasks, turn.cast("int")).sortWithinPartitions("block", "kind", "bucket")
     return home.mapInArrow(reassemble, result).withColumnRenamed("_id", id_col)
 
 
