@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import steps
+from .shared import materialise, steps
 
 #: A section ends after a blank line, a paragraph after a line end.
 SECTION, PARAGRAPH = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)"
@@ -119,10 +119,11 @@ def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str],
     """``docs`` and the ``derived`` columns, with ``next_<c>`` of the next row by (``id_col``, ``order``) for each carried column; the first row follows the last.
 
     The id range is cut into groups of about ``group_rows`` neighbours, by
-    quantiles and then evenly within each, so no window holds the table; only
-    each group's last row looks up the first row of the group after it. Rows
-    are shuffled once, before ``derived`` columns are computed, into as many
-    tasks as their bytes of ``order`` call for.
+    quantiles and then evenly within each, so no window holds the table. A copy
+    of the first row of the group after it stands at each group's end as a
+    guest. Rows are shuffled once, before ``derived`` columns are computed, and
+    groups are dealt by number, not by hash, as many to each task as their
+    bytes of ``order`` call for.
     """
     low = -(1 << 63)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(low))
@@ -149,17 +150,19 @@ def next_documents(docs: DataFrame, id_col: str, order: str, carried: list[str],
     spots = after.select(F.col("_head").alias("_key")).distinct()
     head = (
         docs.withColumn("_key", key).join(F.broadcast(spots) if groups <= BROADCAST_GROUPS else spots, "_key", "left_semi")
-        .withColumns(derived).groupBy("_key").agg(F.min(F.struct(order, *[c for c in carried if c != order])).alias("_v"))
+        .groupBy("_key").agg(F.min(F.struct(order, *[c for c in docs.columns if c != order])).alias("_v"))
         .withColumnRenamed("_key", "_head")
     )
-    tasks = max(1, min(groups, -(-(size or 0) // TASK_BYTES)))
-    rows = docs.withColumns({"_key": key, "_block": block}).repartition(tasks, "_block")
-    w = Window.partitionBy("_block").orderBy("_key", order)
+    guests = after.join(head, "_head").select(*[F.col("_v")[c].alias(c) for c in docs.columns], F.col("_head").alias("_key"), "_block", F.lit(True).alias("_guest"))
+    guests = materialise(guests, "guests")  # one row per group
+    each = max(1, round(groups * TASK_BYTES / max(size or 0, TASK_BYTES)))  # groups to a task
+    tasks = -(-groups // each)
+    rows = docs.withColumns({"_key": key, "_block": block, "_guest": F.lit(False)}).unionByName(guests)
+    rows = rows.withColumn("_task", F.pmod(F.col("_block"), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("_task"))
+    w = Window.partitionBy("_task", "_block").orderBy("_guest", "_key", order)
     early, late = ([c for c in carried if (c in derived) == told] for told in (False, True))
-    led = rows.withColumns({"_more": F.lead(F.lit(True)).over(w), **{f"next_{c}": F.lead(c).over(w) for c in early}}).withColumns(derived).withColumns({f"next_{c}": F.lead(c).over(w) for c in late})
-    return led.join(after.join(head, "_head").select("_block", "_v"), "_block", "left").select(
-        *docs.columns, *derived, *[F.when(F.col("_more"), F.col(f"next_{c}")).otherwise(F.col("_v")[c]).alias(f"next_{c}") for c in carried]
-    )
+    led = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in early}).withColumns(derived).withColumns({f"next_{c}": F.lead(c).over(w) for c in late})
+    return led.filter(~F.col("_guest")).select(*docs.columns, *derived, *[f"next_{c}" for c in carried])
 
 
 def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
