@@ -32,13 +32,25 @@ def _assembled(matrix: DataFrame, names: list[str]) -> DataFrame:
 
 
 def train_boosted(matrix: DataFrame, names: list[str], rounds: int = 100, depth: int = 6, rate: float = 0.05, share: float = 0.8, seed: int = 42, label: str = "label", weighted: bool = True):
-    """A GBT classifier; ``matrix`` has the features, label and a boolean ``validation``. Positives weigh negatives / positives of the training rows."""
+    """A GBT classifier of all ``rounds``; ``matrix`` has the features, label and a boolean ``validation``. Positives weigh negatives / positives of the training rows.
+
+    Validation rows are left to ``best_prefix``, which stops by average
+    precision: MLlib's own stop ends at the first round that gains less than a
+    hundredth of the loss, at a rate of 0.05 often the second.
+    """
     from pyspark.ml.classification import GBTClassifier
 
-    weight = positive_weight(matrix.filter(~F.col("validation")), label) if weighted else 1.0
-    rows = _assembled(matrix, names).withColumn("_w", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0))).withColumn("_y", F.col(label).cast("double"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), validationIndicatorCol="validation", seed=seed)
-    return gbt.fit(rows.select("features", "_y", "_w", "validation"))
+    train = matrix.filter(~F.col("validation"))
+    weight = positive_weight(train, label) if weighted else 1.0
+    rows = _assembled(train, names).withColumn("_w", F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0))).withColumn("_y", F.col(label).cast("double"))
+    gbt = GBTClassifier(featuresCol="features", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed)
+    return gbt.fit(rows.select("features", "_y", "_w"))
+
+
+def train_stopped(matrix: DataFrame, names: list[str], every: int = 10, label: str = "label", **settings) -> Trees:
+    """The trees of ``train_boosted`` up to the number of rounds that ranks the validation rows best."""
+    model = train_boosted(matrix, names, label=label, **settings)
+    return best_prefix(matrix.filter("validation"), trees_of(model, names), every, label)
 
 
 def scored(model, matrix: DataFrame, names: list[str], out: str = "score") -> DataFrame:
@@ -144,6 +156,27 @@ def margins_of(trees: Trees, x):
     return out
 
 
+def scored_by(matrix: DataFrame, trees: Trees, key: str = "txn_id", out: str = "score") -> DataFrame:
+    """``key`` and the positive class's probability by the given trees."""
+    return _by_row(matrix, trees, key, out, lambda margin, np: 1 / (1 + np.exp(-margin)))
+
+
+def _by_row(matrix: DataFrame, trees: Trees, key: str, out: str, answer) -> DataFrame:
+    shared = matrix.sparkSession.sparkContext.broadcast(trees)
+    rows = matrix.select(key, F.array(*[F.col(f"`{n}`").cast("double") for n in trees.names]).alias("x"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answer(margins_of(shared.value, x), np))], names=[key, out])
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {out} double")
+
+
 def prefix_quality(matrix: DataFrame, trees: Trees, every: int = 10, label: str = "label") -> DataFrame:
     """rounds and average_precision of the first ``every``, 2 * ``every``, .. trees and of all, on the rows of ``matrix``.
 
@@ -274,16 +307,4 @@ def isolation_forest(matrix: DataFrame, names: list[str], trees: int = 100, rows
 
 def anomaly_scores(matrix: DataFrame, forest: Trees, key: str = "txn_id", out: str = "anomaly") -> DataFrame:
     """``key`` and the anomaly, 2 ** -(mean path length / expected length): higher is stranger."""
-    shared = matrix.sparkSession.sparkContext.broadcast(forest)
-    rows = matrix.select(key, F.array(*[F.col(f"`{n}`").cast("double") for n in forest.names]).alias("x"))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(2.0 ** -margins_of(shared.value, x))], names=[key, out])
-
-    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {out} double")
+    return _by_row(matrix, forest, key, out, lambda depth, np: 2.0**-depth)

@@ -146,6 +146,21 @@ def test_early_stopping_after_the_fact(spark):
     assert got[len(best.nodes)] == max(got.values())
 
 
+def test_training_runs_all_rounds_and_stops_by_ranking(spark):
+    """At a low rate each round gains little; none of them may end the training, and validation rows train nothing."""
+    df, _ = small_model(spark)
+    names = ["a", "b", "c"]
+    model = ML.train_boosted(df, names, rounds=6, depth=2, rate=0.05)
+    assert len(model.treeWeights) == 6
+    turned = df.withColumn("label", F.when(F.col("validation"), 1 - F.col("label")).otherwise(F.col("label")))
+    assert ML.trees_of(ML.train_boosted(turned, names, rounds=6, depth=2, rate=0.05), names) == ML.trees_of(model, names)
+    stopped = ML.train_stopped(df, names, every=2, rounds=6, depth=2, rate=0.05)
+    got = {r["rounds"]: r["average_precision"] for r in ML.prefix_quality(df.filter("validation"), ML.trees_of(model, names), every=2).collect()}
+    assert got[len(stopped.nodes)] == max(got.values())
+    both = ML.scored_by(df, ML.trees_of(model, names)).join(ML.scored(model, df, names).select("txn_id", F.col("score").alias("other")), "txn_id")
+    assert both.agg(F.max(F.abs(F.col("score") - F.col("other")))).first()[0] < 1e-9
+
+
 def test_model_round_trip_and_base_value(spark, tmp_path):
     df, model = small_model(spark)
     names = ["a", "b", "c"]
