@@ -364,7 +364,8 @@ class Sheet:
             self.above[(id(seen), steps, k)] = found
         return found
 
-    def hides(self, node: Node) -> bool:
+    def look(self, node: Node) -> tuple[str, str]:
+        """display and visibility of an element, each empty where nothing sets it."""
         a = node.attributes
         best: dict = {key: ((important, 1), value) for key, (important, value) in declared(a["style"]).items()} if "style" in a else {}
         if self.rules:
@@ -376,15 +377,35 @@ class Sheet:
                             if prop not in best or rank > best[prop][0]:
                                 best[prop] = rank, value
         display, visibility = (best.get(p, (0, ""))[1] for p in ("display", "visibility"))
-        return display == "none" or "hidden" in a and not display or visibility in ("hidden", "collapse")
+        return display or ("none" if "hidden" in a else ""), visibility
 
 
-def visible(node: Node, sheet: Sheet) -> bool:
-    """Whether a reader sees an element: its kind, the hidden attribute, its own style and the page's sheets."""
-    a = node.attributes
-    if node.tag in UNSEEN and not (node.tag == "dialog" and "open" in a) or node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    return not sheet.hides(node)
+def prune(root: Node, sheet: Sheet) -> None:
+    """Take from a tree what a reader does not see.
+
+    Elements that are not displayed go with all they hold. Hidden ones lose
+    their text and stay only around parts that are set back to visible, but
+    for cells, which keep their place in a row that is seen.
+    """
+    unseen: dict[int, bool] = {}  # displayed elements: whether they are hidden
+    order, todo = [], [(root, False)]
+    while todo:
+        node, off = todo.pop()
+        order.append(node)
+        unseen[id(node)] = off
+        for c in node.children:
+            if isinstance(c, str) or c.tag in UNSEEN and not (c.tag == "dialog" and "open" in c.attributes) or c.tag == "input" and c.attributes.get("type", "").lower() == "hidden":
+                continue
+            display, visibility = sheet.look(c)
+            if display != "none" and not (visibility == "collapse" and c.tag in ("tr", "thead", "tbody", "tfoot")):
+                todo.append((c, visibility in ("hidden", "collapse") or off and visibility not in ("visible", "initial")))
+    kept: set[int] = set()
+    for node in reversed(order):  # inner elements before those around them
+        if not unseen[id(node)] or any(id(c) in kept for c in node.children):
+            kept.add(id(node))
+    for node in order:
+        off = unseen[id(node)]
+        node.children = [c for c in node.children if (not off if isinstance(c, str) else id(c) in kept or c.tag in ("td", "th") and id(c) in unseen)]
 
 
 class _Writer:
@@ -442,13 +463,14 @@ class _Writer:
 
 def layout(root: Node) -> str:
     """Text of the visible part of a tree. Inner tables are laid out before those around them, so nesting has no limit."""
-    sheet, tables = Sheet(root), {}
+    prune(root, Sheet(root))
+    tables: dict = {}
     for node in reversed([n for n in nodes(root) if n.tag == "table"]):
-        tables[id(node)] = _table(node, sheet, tables)
-    return "\n".join(_lines(root.children, sheet, tables)).strip("\n")
+        tables[id(node)] = _table(node, tables)
+    return "\n".join(_lines(root.children, tables)).strip("\n")
 
 
-def _lines(children: list, sheet: Sheet, tables: dict) -> list[str]:
+def _lines(children: list, tables: dict) -> list[str]:
     out = _Writer()
     # (child, list kind and counter, inside pre); a callable runs when its place is reached.
     todo: list = [(c, None, False) for c in reversed(children)]
@@ -460,8 +482,6 @@ def _lines(children: list, sheet: Sheet, tables: dict) -> list[str]:
         if isinstance(item, str):
             out.words(item, pre)
             continue
-        if not visible(item, sheet):
-            continue
         tag = item.tag
         if tag == "br":
             out.wanted = 0 if out.empty else out.wanted
@@ -522,7 +542,7 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(int(found[1][:9]), most) if found else 1
 
 
-def _table(table: Node, sheet: Sheet, tables: dict) -> list[str]:
+def _table(table: Node, tables: dict) -> list[str]:
     """Rows with cells padded to their column's width and parted by " | "; a caption comes first.
 
     A cell over several columns or rows has its text in the first of each and
@@ -535,15 +555,13 @@ def _table(table: Node, sheet: Sheet, tables: dict) -> list[str]:
         if isinstance(node, str):
             if node.strip():
                 captions.append(_space.sub(" ", node).strip())
-        elif not visible(node, sheet):
-            continue
         elif node.tag == "tr":
             rows.append((node, section))
         elif node.tag in ("tbody", "thead", "tfoot"):
             sections += 1
             todo += [(c, sections) for c in reversed(node.children)]
         else:
-            captions += [x for x in _lines([node], sheet, tables) if x.strip()]
+            captions += [x for x in _lines([node], tables) if x.strip()]
     grid, spans, now = [], [], None  # spans: columns still covered from above, as (first, beyond, rows left)
     for row, section in rows:
         if section != now:
@@ -555,12 +573,10 @@ def _table(table: Node, sheet: Sheet, tables: dict) -> list[str]:
                 if not cell.strip():
                     continue
                 body, wide, tall = [_space.sub(" ", cell).strip()], 1, 1
-            elif visible(cell, sheet):
+            else:
                 inner = cell.children if cell.tag in ("td", "th") else [cell]
-                body = [x.rstrip() for x in "\n".join(_lines(inner, sheet, tables)).strip("\n").split("\n")]
+                body = [x.rstrip() for x in "\n".join(_lines(inner, tables)).strip("\n").split("\n")]
                 wide, tall = max(1, _span(cell, "colspan", MOST_COLUMNS)), _span(cell, "rowspan", MOST_ROWS) or MOST_ROWS
-            else:
-                continue
             for a, b, _ in spans:  # ascending
                 if a <= at < b:
                     at = b

@@ -190,6 +190,13 @@ PAGES = {
     "<style>p{display:none !important}</style><p style='display:block'>no</p>yes": "yes",
     "<style>p:hover{display:none} a+p{display:none} @font-face{x:y}</style><a>a</a><p>yes": "a\n\nyes",
     "<style>[data-x=off]{display:none}</style><p data-x=off>no<p data-x=on>yes": "yes",
+    "<div style='visibility:hidden'>no<p style='visibility:visible'>yes <i>too</i></p><p>no</div>": "yes too",
+    "<div style='visibility:hidden'>no<p style='display:none'>no<b style='visibility:visible'>no</b></div>": "",
+    "<style>.off{visibility:hidden}.off .on{visibility:visible}</style><ul class=off><li>no<li><img alt=no><b class=on>yes</b></ul>": "- yes",
+    "<div style='visibility:hidden'><b style='visibility:inherit'>no</b></div>yes": "yes",
+    "<table><tr><td>a<td style='visibility:hidden'>no<td>c<tr><td>d<td>e<td>f</table>": "a |   | c\nd | e | f",
+    "<table><tr style='visibility:collapse'><td style='visibility:visible'>no<tr><td>yes</table>": "yes",
+    "<table style='visibility:hidden'><tr><td>no</table>yes": "yes",
     "<p don't>Hello": "Hello",
     "<a title=don't>seen one</a> and it's here <b>": "seen one and it's here",
     "<p title='never closed>gone": "",
