@@ -612,8 +612,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     text; a null id is kept. Repeated rows each give a row. An empty table
     gives an empty result. Pages are read whole, whatever their length or
     nesting. Broken markup is read as text or implied, never refused; what is
-    inside a tag, comment or script that never ends is not text. A hidden
-    element hides all that is in it. Other columns are left out.
+    inside a tag, comment or script that never ends is not text. An element
+    that is not displayed takes all in it along; one of visibility ``hidden``
+    all but the parts set back to visible. Other columns are left out.
     """
     line = pages.select(F.col(id_col).alias("_id"), F.col(html_col).cast("string").alias("_html"))
     schema = shape(line.select("_id", F.lit("").alias("text")))
