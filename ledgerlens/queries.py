@@ -610,7 +610,7 @@ GRAPH = f"""graph AS (SELECT txns.txn_id, {_graph_cells} FROM txns LEFT JOIN sna
 
 @query("g1_g3_snapshot", f"{SNAPSHOT} SELECT * FROM snap")
 def g1(spark, sf_dir):
-    return rounded(G.snapshot_features(G.visible_edges(transfers(spark, sf_dir))))
+    return rounded(G.snapshot_features(G.packed_edges(transfers(spark, sf_dir))))
 
 
 @query("g2_visible_edges", f"{EDGES} SELECT as_of, src, dst FROM edges")
@@ -620,13 +620,13 @@ def g2(spark, sf_dir):
 
 @query("g3_j7_short_cycles", f"{CYCLES} SELECT as_of, account_key FROM cycles")
 def g3(spark, sf_dir):
-    return G.on_short_cycles(G.visible_edges(transfers(spark, sf_dir)))
+    return G.on_short_cycles(G.packed_edges(transfers(spark, sf_dir)))
 
 
 @query("g3_cycles_of_four", f"""{CYCLES}, two AS (SELECT DISTINCT x.as_of, x.src, x.dst AS mid, y.dst FROM edges x JOIN edges y ON x.as_of = y.as_of AND x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst)
 SELECT as_of, account_key FROM cycles UNION SELECT a.as_of, a.src FROM two a JOIN two b ON a.as_of = b.as_of AND a.dst = b.src AND b.dst = a.src AND a.mid <> b.mid""")
 def g3_four(spark, sf_dir):
-    return G.on_short_cycles(G.visible_edges(transfers(spark, sf_dir)), 4)
+    return G.on_short_cycles(G.packed_edges(transfers(spark, sf_dir)), 4)
 
 
 @query("g4_j5_graph_features", f"{SNAPSHOT}, {GRAPH} SELECT * FROM graph")

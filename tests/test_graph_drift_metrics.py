@@ -191,6 +191,48 @@ def test_short_cycles_like_brute_force(spark, length):
     assert {int(r["account_key"]) for r in G.on_short_cycles(df, length).collect()} == want
 
 
+@pytest.mark.parametrize("length, classes", [(3, 2), (4, 2)])
+def test_short_cycles_over_classes_and_days(spark, length, classes):
+    """Round trips over several classes, and walks that are seen only on the days of all their edges, across blocks of days."""
+    rng = random.Random(length)
+    rows = [(d, rng.randrange(30), rng.randrange(30)) for d in (0, 1, 2, 58, 59, 60, 61, 62) for _ in range(9)]
+    days = {datetime(1970, 1, 1) + timedelta(days=d): d for d in (0, 1, 2, 58, 59, 60, 61, 62)}
+    df = spark.createDataFrame([(i, datetime(1970, 1, 1) + timedelta(days=d), str(a), str(b)) for i, (d, a, b) in enumerate(rows)], "txn_id long, timestamp timestamp_ntz, from_account_key string, to_account_key string")
+    seen = {d: {(a, b) for e, a, b in rows if e < d <= e + 2} for d in days.values()}
+    assert {(r["as_of"].toordinal() - 719163, int(r["src"]), int(r["dst"])) for r in G.visible_edges(df, 2).collect()} == {(d, a, b) for d in seen for a, b in seen[d]}
+
+    def back_home(pairs, start, at, steps):
+        return steps < length and any(y == start or back_home(pairs, start, y, steps + 1) for x, y in pairs if x == at)
+
+    want = {(d, a) for d in seen for a in range(30) if back_home(seen[d], a, a, 0)}
+    found = G.on_short_cycles(G.packed_edges(df, 2), length, per_class=20)
+    assert {(r["as_of"].toordinal() - 719163, int(r["account_key"])) for r in found.collect()} == want
+    assert found.count() == len(want)
+    core = G.packed_edges(df, 2).filter("src != dst").selectExpr("block", "cast(src as long) src", "cast(dst as long) dst", "mask")
+    by_block = [r["block"] for r in core.select("block").distinct().collect()]
+    one, other = set(), set()
+    for n in range(2, length + 1):
+        one |= {(r["as_of"], r["id"]) for r in G.unpacked(G._closed_in_memory(core, by_block, classes, n)).collect()}
+        other |= {(r["as_of"], r["id"]) for r in G.unpacked(G._closed_by_joins(core, {}, n)).collect()}
+    assert one == other
+
+
+def test_closed_walks_in_runs_and_by_class():
+    """Runs of a few starts give what one run gives, and a hub's walks are not multiplied."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    steps = [np.stack([rng.integers(0, 25, 60), rng.integers(0, 25, 60) + 0, rng.integers(1, 16, 60)]) for _ in range(4)]
+    for n in (2, 3, 4):
+        whole, few = (dict(zip(*(x.tolist() for x in G.closed_walks(steps[:n], most)), strict=True)) for most in (1 << 21, 5))
+        assert whole == few
+    mids = np.arange(1, 3001)
+    out, back, one = np.stack([0 * mids, mids, 0 * mids + 1]), np.stack([mids, 0 * mids + 5000, 0 * mids + 1]), 1
+    ids, masks = G.closed_walks([out, back, np.stack([0 * mids + 5000, mids + 6000, 0 * mids + 1]), np.stack([mids + 6000, 0 * mids, 0 * mids + 1])])
+    assert len(ids) == 6002 and set(masks.tolist()) == {one}
+    assert G.round_trips(2, 3) == [(0, 0, 0), (0, 0, 1), (0, 1, 1), (1, 1, 1)]
+
+
 def test_graph_share_counts_the_first(spark):
     rows = [("sender_graph_in_degree", 0.5), ("score", 0.4), ("hour", 0.3), ("receiver_graph_in_cycle", 0.2)]
     table = spark.createDataFrame(rows, "feature string, csi double")
