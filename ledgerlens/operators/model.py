@@ -104,8 +104,50 @@ def tree_leaves(tree: dict):
     return out
 
 
-def contributions_of(trees: Trees, x):
-    """Exact path-dependent Shapley values of every row and feature, and the margin's expected value.
+def _shares_by_pattern(shares):
+    """Shapley weights of leaves with d features on their paths: (leaf, pattern, feature), bit j of a pattern: the row holds condition j."""
+    import numpy as np
+
+    d = shares.shape[1]
+    holds = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+    out = np.empty((len(shares), 1 << d, d))
+    for k in range(d):
+        coefficients = [np.ones((len(shares), 1 << d))]
+        for j in range(d):
+            if j != k:
+                up = [c * shares[:, j, None] for c in coefficients] + [np.zeros((len(shares), 1 << d))]
+                for i, c in enumerate(coefficients):
+                    up[i + 1] = up[i + 1] + c * holds[:, j]
+                coefficients = up
+        weight = sum(c * (factorial(i) * factorial(d - i - 1) / factorial(d)) for i, c in enumerate(coefficients))
+        out[:, :, k] = (holds[:, k] - shares[:, k, None]) * weight
+    return out
+
+
+def leaf_tables(trees: Trees) -> tuple[list, float]:
+    """Per tree its leaves as (conditions (feature, lower, upper), contributions by feature and pattern), and the margin's expected value.
+
+    A row's contributions at a leaf depend only on which of the path's
+    conditions it holds, so 2 ** d patterns are worked out once, not every row.
+    """
+    import numpy as np
+
+    leaves = [(t, value * scale, path) for t, (tree, scale) in enumerate(zip(trees.nodes, trees.scale, strict=True)) for value, path in tree_leaves(tree)]
+    base = sum(value * float(np.prod([p[2] for p in path.values()])) for _, value, path in leaves)
+    by_tree: list = [[] for _ in trees.nodes]
+    for d in sorted({len(path) for _, _, path in leaves} - {0}):
+        same = [x for x in leaves if len(x[2]) == d]
+        run = max(1, (1 << 20) >> d)
+        for at in range(0, len(same), run):
+            part = same[at : at + run]
+            weights = _shares_by_pattern(np.array([[p[2] for p in path.values()] for _, _, path in part]))
+            for (t, value, path), w in zip(part, weights, strict=True):
+                by_tree[t].append(([(f, low, high) for f, (low, high, _) in path.items()], np.ascontiguousarray((w * value).T)))
+    return by_tree, base
+
+
+def contributions_of(trees: Trees, x, tables=None):
+    """Exact path-dependent Shapley values of every row and feature, and the margin's expected value; ``tables``: ``leaf_tables`` of the trees.
 
     For a leaf with d features on its path, feature i gains value * (holds_i - share_i)
     times the sum over subsets S of the others of |S|! (d - |S| - 1)! / d! times
@@ -114,44 +156,37 @@ def contributions_of(trees: Trees, x):
     """
     import numpy as np
 
-    phi, base = np.zeros(x.shape), 0.0
-    for tree, scale in zip(trees.nodes, trees.scale, strict=True):
-        for value, path in tree_leaves(tree):
-            d = len(path)
-            whole = 1.0
-            holds, shares, features = [], [], []
-            for f, (low, high, share) in path.items():
-                holds.append(((x[:, f] > low) & (x[:, f] <= high)).astype(float))
-                shares.append(share)
-                features.append(f)
-                whole *= share
-            base += scale * value * whole
-            for k, f in enumerate(features):
-                coefficients = [np.ones(len(x))]
-                for j in range(d):
-                    if j != k:
-                        up = [c * shares[j] for c in coefficients] + [np.zeros(len(x))]
-                        for i, c in enumerate(coefficients):
-                            up[i + 1] = up[i + 1] + c * holds[j]
-                        coefficients = up
-                weight = sum(c * (factorial(i) * factorial(d - i - 1) / factorial(d)) for i, c in enumerate(coefficients))
-                phi[:, f] += scale * value * (holds[k] - shares[k]) * weight
-    return phi, base
+    by_tree, base = tables or leaf_tables(trees)
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    for leaves in by_tree:
+        held: dict = {}
+        for conditions, table in leaves:
+            kind = np.uint8 if len(conditions) <= 8 else np.int64
+            pattern = np.zeros(columns.shape[1], kind)
+            for j, (f, low, high) in enumerate(conditions):
+                if (f, low, high) not in held:
+                    held[f, low, high] = (columns[f] > low) & (columns[f] <= high)
+                pattern |= held[f, low, high].astype(kind) << kind(j)
+            for (f, _, _), gains in zip(conditions, table, strict=True):
+                phi[f] += gains[pattern]
+    return phi.T, base
 
 
 def margins_of(trees: Trees, x):
     """Margin of every row."""
     import numpy as np
 
-    out = np.zeros(len(x))
+    out, n = np.zeros(len(x)), np.arange(len(x)) * x.shape[1]
+    cells = np.ascontiguousarray(x).ravel()
     for tree, scale in zip(trees.nodes, trees.scale, strict=True):
-        at = np.zeros(len(x), int)
-        feature, cut = np.array(tree["feature"]), np.array(tree["threshold"])
-        left, right, value = np.array(tree["left"]), np.array(tree["right"]), np.array(tree["value"])
-        while (inner := feature[at] >= 0).any():
-            rows = np.flatnonzero(inner)
-            go = x[rows, feature[at[rows]]] <= cut[at[rows]]
-            at[rows] = np.where(go, left[at[rows]], right[at[rows]])
+        at, feature = np.zeros(len(x), np.int64), np.array(tree["feature"])
+        leaf, own = feature < 0, np.arange(len(feature))
+        cut, value = np.array(tree["threshold"], float), np.array(tree["value"])
+        right, left = (np.where(leaf, own, np.array(tree[side])) for side in ("right", "left"))
+        side, feature = np.stack([right, left], 1).ravel(), np.maximum(feature, 0)  # a leaf leads to itself
+        while not leaf[at].all():
+            at = side[2 * at + (cells[n + feature[at]] <= cut[at])]
         out += scale * value[at]
     return out
 
@@ -221,7 +256,7 @@ def best_prefix(matrix: DataFrame, trees: Trees, every: int = 10, label: str = "
 
 def explain(matrix: DataFrame, trees: Trees, key: str = "txn_id") -> DataFrame:
     """``key``, margin, contributions and values (arrays in the order of the features). Restrict rows first: this is the costly step."""
-    shared = matrix.sparkSession.sparkContext.broadcast(trees)
+    shared = matrix.sparkSession.sparkContext.broadcast((trees, leaf_tables(trees)))
     rows = matrix.select(key, F.array(*[F.col(f"`{n}`").cast("double") for n in trees.names]).alias("values"))
     schema = f"{key} {dict(rows.dtypes)[key]}, values array<double>, margin double, contributions array<double>"
 
@@ -232,9 +267,11 @@ def explain(matrix: DataFrame, trees: Trees, key: str = "txn_id") -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            trees, tables = shared.value
             x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-            phi, _ = contributions_of(shared.value, x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margins_of(shared.value, x)), pa.array(list(phi), pa.list_(pa.float64()))], names=[key, "values", "margin", "contributions"])
+            phi, _ = contributions_of(trees, x, tables)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(phi).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(margins_of(trees, x)), cells], names=[key, "values", "margin", "contributions"])
 
     return rows.mapInArrow(run, schema)
 

@@ -133,6 +133,46 @@ def test_contributions_are_exact_shapley_values(spark):
     assert all(r["score"] == pytest.approx(1 / (1 + exp(-margins[r["txn_id"]]))) for r in scored)
 
 
+def test_contributions_from_patterns_of_leaves():
+    """A leaf's contributions are worked out once per pattern of its path, also with repeated features, missing values and nothing but a root."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+
+    def grown(depth):
+        t = {k: [] for k in ("feature", "threshold", "left", "right", "value", "cover")}
+
+        def add(left, cover):
+            at = len(t["value"])
+            for k in t:
+                t[k].append(0)
+            t["value"][at], t["cover"][at], t["feature"][at] = float(rng.normal()), cover, -1
+            if left:
+                share = rng.uniform(0.1, 0.9)
+                t["feature"][at], t["threshold"][at] = int(rng.integers(12)), float(rng.random())
+                t["left"][at], t["right"][at] = add(left - 1, cover * share), add(left - 1, cover * (1 - share))
+            return at
+
+        add(depth, 1.0)
+        return t
+
+    trees = ML.Trees([str(i) for i in range(12)], [grown(d) for d in (0, 1, 4, 9)], [0.5, 2.0, 1.0, 0.3])
+    x = rng.random((50, 12))
+    x[3, 4] = np.nan
+    tables, base = ML.leaf_tables(trees)
+    assert [len(t) for t in tables] == [0, 2, 16, 512]
+    phi, again = ML.contributions_of(trees, x, (tables, base))
+    assert again == base and phi.shape == x.shape
+    sure = ~np.isnan(x).any(1)
+    assert np.allclose(base + phi.sum(1)[sure], ML.margins_of(trees, x)[sure])
+
+    def down(t, row, at=0):
+        f = t["feature"][at]
+        return t["value"][at] if f < 0 else down(t, row, t["left" if row[f] <= t["threshold"][at] else "right"][at])
+
+    assert np.allclose(ML.margins_of(trees, x), [sum(s * down(t, row) for t, s in zip(trees.nodes, trees.scale, strict=True)) for row in x])
+
+
 def test_early_stopping_after_the_fact(spark):
     df, model = small_model(spark)
     trees = ML.trees_of(model, ["a", "b", "c"])
