@@ -981,7 +981,7 @@ def c3(spark, sf_dir):
     x, names, trees = _stopped(spark, sf_dir)
     test = x.filter("split = 'test'")
     told = ML.explain(test, trees)
-    scores = ML.scored_by(test, trees).join(test.select("txn_id", F.col("label").alias("is_laundering")), "txn_id")
+    scores = scratch.materialise(ML.scored_by(test, trees).join(test.select("txn_id", F.col("label").alias("is_laundering")), "txn_id"), "scores")  # ranks and totals read it again
     rows = M.alert_queue(M.ranked(scores), 0.75).withColumnRenamed("score", "model_score")
     table = rows.join(told, "txn_id").join(usd(spark, sf_dir).drop("score", "is_laundering"), "txn_id")
     path = scratch.new_folder(spark, "review")

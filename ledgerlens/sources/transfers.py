@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import read_text, write_text
+from .scratch import new_folder, read_text, write_text
 
 #: Header fields of the raw files, and the names used here.
 TRANSACTION_HEADER = ["Timestamp", "From Bank", "Account", "To Bank", "Account", "Amount Received", "Receiving Currency", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering"]
@@ -116,13 +117,23 @@ def write_table(df: DataFrame, path: str, by_day: str | None = None) -> None:
 
 
 def write_artifact(df: DataFrame, path: str, budget_mb: float = 20.0) -> float:
-    """A review table of bounded size as one snappy file; returns its MB and warns beyond the budget."""
+    """A review table as one snappy file, or a file per ``budget_mb`` beyond that; returns its MB and warns beyond the budget.
+
+    All tasks work the table out first; a lone task would run its last joins too.
+    """
     import warnings
 
-    df.coalesce(1).write.mode("overwrite").option("compression", "snappy").parquet(path)
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength() / 1e6
+
+    def megabytes(at: str) -> float:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength() / 1e6
+
+    whole = new_folder(spark, "artifact-rows")
+    df.write.option("compression", "snappy").parquet(whole)
+    files = max(1, math.ceil(megabytes(whole) / budget_mb))
+    spark.read.schema(df.schema).parquet(whole).coalesce(files).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    size = megabytes(path)
     if size > budget_mb:
         warnings.warn(f"artifact of {size:.1f} MB is over its budget of {budget_mb} MB", stacklevel=2)
     return size

@@ -133,6 +133,20 @@ def test_contributions_are_exact_shapley_values(spark):
     assert all(r["score"] == pytest.approx(1 / (1 + exp(-margins[r["txn_id"]]))) for r in scored)
 
 
+def test_artifact_is_not_written_by_one_task(spark, tmp_path):
+    """One file within the budget; beyond it several, and the table's last step runs in as many tasks as it has partitions."""
+    df = spark.range(0, 20_000, 1, 4).select("id", F.rand(1).alias("score"), F.spark_partition_id().alias("task"))
+    small, large = str(tmp_path / "small"), str(tmp_path / "large")
+    S.write_artifact(df, small)
+    assert len(spark.read.parquet(small).inputFiles()) == 1
+    with pytest.warns(UserWarning, match="budget"):
+        size = S.write_artifact(df, large, budget_mb=0.06)
+    assert size > 0.06 and len(spark.read.parquet(large).inputFiles()) > 1
+    for path in (small, large):
+        got = spark.read.parquet(path)
+        assert got.select("task").distinct().count() == 4 and got.select("id").distinct().count() == got.count() == 20_000
+
+
 def test_contributions_from_patterns_of_leaves():
     """A leaf's contributions are worked out once per pattern of its path, also with repeated features, missing values and nothing but a root."""
     import numpy as np
