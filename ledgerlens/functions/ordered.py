@@ -64,6 +64,42 @@ def positions(df: DataFrame, lead: str, tie: str, descending: bool = True, out:
     return split.join(F.broadcast(starts), ["_p", "_t"]).withColumn(out, (F.col("_start") + inside).cast("long")).drop("_p", "_t", "_start")
 
 
+def pairs_at(df: DataFrame, lead: str, tie: str, shares: list[float], enough: int = 100_000) -> list[tuple | None] | None:
+    """The pairs (lead, tie) at the positions int(rows * share), None for 0; None altogether if equal pairs lie on both sides of one.
+
+    As ``positions``, but no row is moved: pieces are counted and only the one
+    with the position is cut again, until at most ``enough`` rows are sorted.
+    """
+
+    def pieces(part):
+        bounds, ties = cuts(part, lead, tie)
+        piece = _piece(lead, bounds)
+        split = part.withColumn("_p", piece).withColumn("_t", F.when(F.pmod("_p", F.lit(2)) == 0, steps(F.col(tie), ties)).otherwise(F.lit(0)))
+        return split, sorted((r["_p"], r["_t"], r["count"]) for r in split.groupBy("_p", "_t").count().collect())
+
+    whole = pieces(df.select(lead, tie))
+    n, out = sum(size for _, _, size in whole[1]), []
+    for share in shares:
+        left, (split, sizes) = int(n * share), whole
+        if not left:
+            out.append(None)
+            continue
+        while True:
+            for p, t, size in sizes:
+                if left <= size:
+                    break
+                left -= size
+            part = split.filter((F.col("_p") == p) & (F.col("_t") == t)).select(lead, tie)
+            if size <= enough or len(sizes) == 1:
+                break
+            split, sizes = pieces(part)
+        found = [tuple(r) for r in part.orderBy(F.asc(lead), F.asc(tie)).offset(left - 1).limit(2).collect()]
+        if len(found) == 2 and found[0] == found[1]:
+            return None
+        out.append(found[0])
+    return out
+
+
 def running_totals(df: DataFrame, lead: str, measures: list[str], descending: bool = True) -> DataFrame:
     """``df`` with ``cum_<m>``: the total of each measure up to and with the row's ``lead``, which must be unique."""
     piece = _piece(lead, cuts(df, lead)[0])

@@ -8,13 +8,18 @@ from pyspark.sql.window import Window
 
 from .. import config as C
 from ..functions.expressions import ratio
-from ..functions.ordered import positions, running_totals
+from ..functions.ordered import pairs_at, positions, running_totals
 from ..sources.scratch import materialise
 from .windows import micros
 
 
 def time_ordered_split(df: DataFrame, train: float = C.TRAIN_FRACTION, val: float = C.VAL_FRACTION, time: str = "timestamp", tie: str = "txn_id") -> DataFrame:
     """``df`` with its split: train, val or test by position in time; equal times may straddle a border."""
+    us = F.coalesce(micros(F.col(time)), F.lit(-(1 << 63)))  # rows without a time come first
+    ends = pairs_at(df.select(us.alias("_us"), tie), "_us", tie, [train, train + val])
+    if ends is not None:
+        upto = [F.lit(False) if e is None else (us < e[0]) | (us == e[0]) & (F.col(tie) <= e[1]) for e in ends]
+        return df.withColumn("split", F.when(upto[0], "train").when(upto[1], "val").otherwise("test"))
     n = df.count()
     first, second = int(n * train), int(n * (train + val))
     at = positions(df.withColumn("_us", micros(F.col(time))), "_us", tie, descending=False, out="_at").drop("_us")

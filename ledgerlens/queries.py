@@ -11,6 +11,7 @@ from . import config as C
 from .functions import clauses as X
 from .functions import expressions as P
 from .operators import aggregates as A
+from .operators import boosting as H
 from .operators import drift as D
 from .operators import features as W
 from .operators import graph as G
@@ -889,7 +890,7 @@ _found = lambda: F.when((F.col("amount_paid_usd") > 9500) & (F.col("amount_paid_
 
 def _full_matrix(spark, sf_dir):
     """The modelling table's 54 features, with the split."""
-    rows = split(spark, sf_dir)
+    rows = M.time_ordered_split(scratch.materialise(usd(spark, sf_dir), "transfers"))  # read for the split, the windows, the graph and the joins
     t = W.modelling_table(rows).withColumn("is_laundering", _found()).join(rows.select("txn_id", "split"), "txn_id")
     x = M.feature_matrix(t, ("txn_id", "split"))
     x = scratch.materialise(x.withColumn("validation", F.col("split") == "val"), "full-matrix")
@@ -899,7 +900,7 @@ def _full_matrix(spark, sf_dir):
 def _stopped(spark, sf_dir):
     """Trees trained with the operator's own settings and stopped by average precision on the validation rows."""
     x, names = _full_matrix(spark, sf_dir)
-    return x, names, ML.train_stopped(x.filter("split <> 'test'"), names)
+    return x, names, ML.best_prefix(x.filter("validation"), H.train_by_histograms(x.filter("split <> 'test'"), names))
 
 
 def _matrix(spark, sf_dir):
@@ -929,8 +930,7 @@ def m1(spark, sf_dir):
 @query("m1_rounds_by_validation")
 def m1_rounds(spark, sf_dir):
     x, names = _full_matrix(spark, sf_dir)
-    model = ML.train_boosted(x.filter("split <> 'test'"), names)
-    return rounded(ML.prefix_quality(x.filter("validation"), ML.trees_of(model, names)))
+    return rounded(ML.prefix_quality(x.filter("validation"), H.train_by_histograms(x.filter("split <> 'test'"), names)))
 
 
 @query("m2_isolation_forest")
